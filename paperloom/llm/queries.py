@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import glyphs
+from paperloom.llm import canon_list, glyphs
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -18,6 +18,32 @@ GLYPH_FIELDS = {
 }
 
 
+LISTED = {
+    "executive_documents.court.court_type": ("executive_documents", "court.court_type"),
+    "commercial_contracts.contract_type": ("commercial_contracts", "contract_type"),
+    "enforcement_orders.court.doc_type": ("enforcement_orders", "court.doc_type"),
+    "enforcement_orders.claimant.party_type": ("enforcement_orders", "claimant.party_type"),
+}
+
+
+def p1_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value of the four fields with the entry meant (0: none) and its distance."""
+    values = canon_list.field_values({p: (table(spark, sf_dir, t), c) for p, (t, c) in LISTED.items()}, "rec_id")
+    return canon_list.map_to_list(values, table(spark, sf_dir, "ref_values"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that aren't entries letter for letter, with the entry meant or 0."""
+    entries = table(spark, sf_dir, "ref_values").select("field_path", F.col("canonical").alias("value"))
+    odd = p1_mapped(spark, sf_dir).where(F.col("value").rlike("(?U)\\S"))
+    return odd.join(entries, ["field_path", "value"], "left_anti").select("field_path", "rec_id", "ref_id")
+
+
+def p1_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that no entry stands for, with how often they occur."""
+    return p1_mapped(spark, sf_dir).where(F.col("ref_id") == canon_list.MISS).groupBy("field_path", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value of the four fields with the one form a reader sees."""
     parts = [glyphs.unify_fields(table(spark, sf_dir, t), "rec_id", fields) for t, fields in GLYPH_FIELDS.items()]
@@ -29,5 +55,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_unified(spark, sf_dir).where(F.col("unified") != F.col("value")).select("field_path", "rec_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified)}
 ORACLES: dict[str, str] = {}
