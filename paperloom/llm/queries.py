@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canon_list, glyphs
+from paperloom.llm import canon_list, glyphs, langid
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -55,5 +55,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_unified(spark, sf_dir).where(F.col("unified") != F.col("value")).select("field_path", "rec_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified)}
+def p8_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the language found, its confidence, the label's language and the lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    label = F.split(F.trim(F.lower(F.regexp_replace("lang", r"^\s+", ""))), r"[-_\s(]")[0]
+    named = F.coalesce(*[F.when(label.isin([n for n, c in langid.CODES.items() if c == code]), code) for code in langid.LANGS])
+    found = langid.labelled(docs, langid.fit(docs))
+    return found.select("doc_id", F.col("lang").alias("label"), named.alias("label_lang"), "found.lang", "found.confidence", "found.lines")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong (line -1) and lines in another language than their document's."""
+    found = p8_labelled(spark, sf_dir).where(F.col("lang").isNotNull())
+    wrong = F.when(F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")), F.array(F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.col("lang")))).otherwise(F.array().cast("array<struct<line_no:bigint,lang:string>>"))
+    other = F.transform(F.filter("lines", lambda x: x["lang"] != F.col("lang")), lambda x: F.struct(x["line_no"].alias("line_no"), x["lang"].alias("lang")))
+    return found.select("doc_id", F.inline(F.concat(wrong, other)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p8_found, p8_labelled)}
 ORACLES: dict[str, str] = {}
