@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canon_list, glyphs, langid
+from paperloom.llm import canon_list, glyphs, langid, mixing, packing, tokens
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -55,6 +55,28 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_unified(spark, sf_dir).where(F.col("unified") != F.col("value")).select("field_path", "rec_id")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of each capacity, and (pack_id 0) in containers of all capacities together."""
+    sizes = {r["pack_id"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    plans = {packing.JOINT: sorted(c for cs in sizes.values() for c in cs), **sizes}
+    return packing.packed(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id"]), plans)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, sf_dir))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each mixture."""
+    counts = tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mixing.mixed(counts, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mixture reaches."""
+    return mixing.shares(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the language found, its confidence, the label's language and the lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -72,5 +94,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline(F.concat(wrong, other)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p8_found, p8_labelled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
 ORACLES: dict[str, str] = {}
