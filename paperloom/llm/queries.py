@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canon_list, glyphs, langid, mixing, packing, tokens
+from paperloom.llm import canon_list, glyphs, langid, mixing, name_links, packing, tokens
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -55,6 +55,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_unified(spark, sf_dir).where(F.col("unified") != F.col("value")).select("field_path", "rec_id")
 
 
+def p3_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling of the four fields with the entity it names."""
+    orders, papers = table(spark, sf_dir, "enforcement_orders"), table(spark, sf_dir, "executive_documents")
+    named = papers.where(~F.coalesce("is_anonymized", F.lit(False)))
+    fields = {
+        "enforcement_orders.claimant.name": (orders, "claimant.name", "pot"),
+        "enforcement_orders.fssp.officer": (orders, "fssp.officer", "p"),
+        "executive_documents.debtor.name": (named, "debtor.name", "po"),
+        "executive_documents.court.name": (papers, "court.name", "c"),
+    }
+    return name_links.entities(name_links.spellings(fields))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of spellings of one person, organisation, authority or court."""
+    return name_links.pairs_of(p3_linked(spark, sf_dir))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of each capacity, and (pack_id 0) in containers of all capacities together."""
     sizes = {r["pack_id"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
@@ -94,5 +112,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline(F.concat(wrong, other)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
 ORACLES: dict[str, str] = {}
