@@ -61,7 +61,7 @@ def typo_cost(noisy: str, clean: str) -> int:
                 if i and j and x == noisy[j - 1] and y == clean[i - 1]:
                     best = min(best, before[j - 1] + 1)
             doubled = j and noisy[j - 1] == y
-            best = min(best, last[j + 1] + 1, now[j] + (1 if doubled else 9))
+            best = min(best, last[j + 1] + 1, now[j] + (1 if doubled or (i == len(clean) - 1 and j == len(noisy) - 1 and y in "ск") else 9))
             now.append(best)
         before, last = last, now
     return min(last[-1], 9)
@@ -262,20 +262,29 @@ def organisation(text: str) -> Name:
     return Name("o", "", (core,), form, "", bool(form))
 
 
-_REGION = re.compile(r"([^\W\d_]+)\s+(область|области|обл|oblast|oblasti|obl|края|край|краю|кр|krai|kray|kraya)\b\.?|(?:республик\w|респ|respublik\w|resp)\b\.?\s+([^\W\d_]+)")
+_REGION = re.compile(r"([^\W\d_]+)\s+(область|области|обл|oblast|oblasti|obl|kr|края|край|краю|кр|krai|kray|kraya)\b\.?|(?:республик\w|респ|respublik\w|resp)\b\.?\s+([^\W\d_]+)")
 
 
-_ENDINGS = re.compile("(?:ского|ским|скому|ском|ской|ская|ский|ски[йи]|skogo|skim|skomu|skom|skoy|skaya|skiy|ск|sk|[оеё]й|ая|ого|ому|aya|oy|ogo|omu)$")
+# Endings of places' adjectives and names; those of the first pattern may be mistyped.
+_SURE = re.compile("(?:ского|ским|скому|ском|ской|ская|ский|ски[йи]|ское|skogo|skim|skomu|skom|skoy|skaya|skiy|skoe)$")
+_OTHER = re.compile("(?:ск|sk|[оеё]й|ая|ого|ому|aya|oy|ogo|omu)$")
+_MISTYPED = ("ская", "ский", "ское", "ского", "ским", "ской", "skaya", "skiy", "skogo")
 
 
 def adjective_stem(word: str) -> str:
     """The folded stem of a place's name or adjective, also where its ending is mistyped."""
-    stem, n = _ENDINGS.subn("", word)
-    if not n:
-        for size, end in ((4, "ский"), (5, "ского"), (4, "ским"), (3, "ский"), (5, "ский"), (6, "ского"), (4, "ского"), (4, "ская"), (5, "ская"), (3, "ская"), (4, "ское")):
-            if len(word) > size + 3 and osa(word[-size:], end, 1) <= 1:
-                return fold(word[:-size])
-    return fold(stem)
+    stem, n = _SURE.subn("", word)
+    if n:
+        return fold(stem)
+    slip = {b for a, b in near_keys() if a == "с"} | {"с", "s"}
+    for more in (0, 1, -1):
+        for end in _MISTYPED:
+            tail = word[-len(end) - more :]
+            if len(word) < len(tail) + 3 or osa(tail, end, 1) > 1:
+                continue
+            if more == 0 and (tail[0] in slip or tail[1] == end[0]) or more > 0 and len(set(tail)) < len(tail) or more < 0:
+                return fold(word[: -len(tail)])
+    return fold(_OTHER.sub("", word))
 
 
 def region_of(low: str) -> tuple[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canon_list, glyphs, langid, mixing, name_links, packing, tokens
+from paperloom.llm import address_links, canon_list, glyphs, langid, mixing, name_links, packing, tokens
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -73,6 +73,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_links.pairs_of(p3_linked(spark, sf_dir))
 
 
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address of the four fields with its building."""
+    fields = {"enforcement_orders": "fssp.address", "executive_documents": "court.address", "invoices_upd": "seller.address", "salary_deductions": "authority.address"}
+    return address_links.buildings(address_links.addresses((table(spark, sf_dir, t), c) for t, c in fields.items()))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of addresses that denote one building."""
+    return address_links.pairs_of(p5_linked(spark, sf_dir))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of each capacity, and (pack_id 0) in containers of all capacities together."""
     sizes = {r["pack_id"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
@@ -112,5 +123,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline(F.concat(wrong, other)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p5_found, p5_linked, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
 ORACLES: dict[str, str] = {}
