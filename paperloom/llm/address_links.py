@@ -66,7 +66,7 @@ def _fits(mine: str, other: str) -> Column:
 
 def buildings(read: DataFrame) -> DataFrame:
     """(address, building, candidates) of :func:`addresses`' rows."""
-    rows = settled(read, [], "region")
+    rows = settled(durable(read), [], "region")
     whole = durable(settled(rows.where("region <> ''"), ["region"], "town").unionByName(rows.where("region = ''")))
     towns = durable(whole.where("region <> '' AND town <> ''").groupBy("region", "town").agg(F.countDistinct("address").alias("town_ways")))
     # localities without a region: the same name, or else a neighbour of it, in any region
@@ -76,7 +76,7 @@ def buildings(read: DataFrame) -> DataFrame:
     placed = lone.join(ways, "town").join(towns.select(F.col("region").alias("in_region"), F.col("town").alias("to")), "to").select(F.col("town").alias("asked_town"), "in_region", F.col("to").alias("in_town"), F.col("slips").alias("town_slips"))
     # streets within their locality
     named = whole.where("region <> '' AND town <> '' AND sort <> '' AND street <> ''")
-    fixed = settled(named, ["region", "town", "sort"], "street")
+    fixed = durable(settled(named, ["region", "town", "sort"], "street"))
     level = ["region", "town", "sort", "street", "house"]
     built = fixed.groupBy(*level).agg(F.countDistinct("address").alias("ways"), F.first("gender").alias("gender"), F.collect_set(F.substring("code", 1, 3)).alias("codes"))
     known = durable(built.withColumn("building", F.sha2(F.concat_ws("|", *level), 256)))
@@ -84,8 +84,8 @@ def buildings(read: DataFrame) -> DataFrame:
     # addresses that lack a level inherit candidates
     loose = whole.where("NOT (region <> '' AND town <> '' AND sort <> '' AND street <> '')")
     asked = loose.join(placed, (F.col("town") == F.col("asked_town")) & (F.col("region") == ""), "left")
-    asked = asked.select("address", "code", F.coalesce("in_region", "region").alias("region"), F.coalesce("in_town", "town").alias("town"), F.coalesce("town_slips", F.lit(0)).alias("town_slips"), "sort", "gender", "street", "house")
-    streets = asked.select(F.col("street").alias("core")).union(known.select("street")).where("core <> ''").distinct()
+    asked = durable(asked.select("address", "code", F.coalesce("in_region", "region").alias("region"), F.coalesce("in_town", "town").alias("town"), F.coalesce("town_slips", F.lit(0)).alias("town_slips"), "sort", "gender", "street", "house"))
+    streets = durable(asked.select(F.col("street").alias("core")).union(known.select("street")).where("core <> ''").distinct())
     near = neighbours(streets.select(F.lit("").alias("space"), "core"))
     roads = near.select(F.col("core").alias("street"), F.col("other").alias("to"), _slips("core", "other").alias("slips")).where("slips <= 2").unionByName(streets.select(F.col("core").alias("street"), F.col("core").alias("to"), F.lit(0).alias("slips")))
     target = known.select(F.col("street").alias("to"), "house", *[F.col(c).alias(f"_{c}") for c in ("region", "town", "sort", "gender")], "ways", "codes", "building")

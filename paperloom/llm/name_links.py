@@ -96,6 +96,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def neighbours(cores: DataFrame) -> DataFrame:
     """(space, core, other): pairs of distinct cores of one space that few slips tell apart, in both directions."""
+    cores = durable(cores)
     keys = F.array_distinct(F.array(*[F.concat(F.lit(f"{s}{k}"), F.substring("core", 1, k) if s == "<" else F.expr(f"right(core, {k})")) for s in "<>" for k in (SHARD, 2)]))
     short = F.filter(keys, lambda x: F.when(F.length("core") < 6, F.length(x) == 4).when(F.length("core") < 8, F.lit(True)).otherwise(F.length(x) == 2 + SHARD))
     routed = cores.where(F.length("core") >= ONE).select("space", "core", F.explode(short).alias("route"))
@@ -106,8 +107,9 @@ def neighbours(cores: DataFrame) -> DataFrame:
     entries = entry.select("space", "core", "route", part.alias("part"), F.lit(False).alias("query"))
     queries = entry.select("space", "core", "route", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"))
     both = entries.unionByName(queries).select(F.concat_ws("\x01", "space", "route", "part").alias("shard"), "query", "core")
-    placed = both.repartition("shard").sortWithinPartitions("shard", "query")
-    return placed.mapInPandas(_walk, "space string, core string, other string, slips int").distinct()
+    parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't merged into one task
+    placed = both.repartition(parts, "shard").sortWithinPartitions("shard", "query")
+    return durable(placed.mapInPandas(_walk, "space string, core string, other string, slips int").distinct())
 
 
 @F.pandas_udf(T.DoubleType())
