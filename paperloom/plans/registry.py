@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import nested_queries
+from paperloom.plans import core_queries, nested_queries
 
-QUERIES = {**nested_queries.QUERIES}
-ORACLES = {**nested_queries.ORACLES}
+QUERIES = {**nested_queries.QUERIES, **core_queries.QUERIES}
+ORACLES = {**nested_queries.ORACLES, **core_queries.ORACLES}
