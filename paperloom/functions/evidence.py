@@ -11,7 +11,7 @@ from paperloom.functions.numbers import let
 # What may separate the characters of a requisite, and what its edges may not touch.
 SEPARATORS = r"""[\s\-_.,;:/\\'"«»()№]*"""
 BEFORE, AFTER = r"(?<![0-9A-Za-zА-Яа-яЁё])", r"(?![0-9A-Za-zА-Яа-яЁё])"
-NUMBER = r"\d{1,3}(?:[  ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
+NUMBER = r"\d{1,3}(?:[ \u00a0]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
 #: Texts shorter than this are no evidence.
 LEAST_TEXT = 20
 
@@ -52,7 +52,7 @@ def presence_pattern(value: Column) -> Column:
 
 def as_amount(text: Column) -> Column:
     """The number that a value is, to the kopeck; null for texts and beyond thirteen digits."""
-    n = F.translate(F.translate(trimmed(text), "  ", ""), ",", ".").try_cast("double")
+    n = F.translate(F.regexp_replace(text, r"(?U)\s", ""), ",", ".").try_cast("double")
     return F.when(F.abs(n) < 1e13, F.bround(n, 2))
 
 

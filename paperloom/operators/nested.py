@@ -77,6 +77,12 @@ def _depth_bound(text: str) -> str:
     return f"({deepest} + {inside})"
 
 
+def _whole_json(text: str) -> str:
+    """SQL: the variant of a text that is one JSON value from end to end; the parser alone lets words follow the value."""
+    alone = f"try_cast(try_parse_json(concat('[', {text}, ']')) AS array<variant>)"
+    return f"CASE WHEN size({alone}) = 1 AND try_parse_json(concat('{{\"v\":', {text}, '}}')) IS NOT NULL THEN {alone}[0] END"
+
+
 #: A level's values: kind o (object), a (array) or s (anything else); a string that is JSON stands for its content.
 _OPEN = "CASE WHEN try_cast({v} AS map<string, variant>) IS NULL AND try_cast({v} AS array<variant>) IS NULL THEN {parsed} ELSE {v} END"
 
@@ -84,7 +90,8 @@ _OPEN = "CASE WHEN try_cast({v} AS map<string, variant>) IS NULL AND try_cast({v
 def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields: bool = False) -> DataFrame:
     """(source_table, rec_id, node_path, parent_path[, fields]) for each object below the root of JSON texts; see :func:`objects_of`."""
     node = FULL_NODE if fields else NODE
-    opened = _OPEN.format(v="c.v", parsed="CASE WHEN ltrim(try_cast(c.v AS string)) RLIKE '^[\\\\[{]' AND schema_of_variant(c.v) = 'STRING' THEN try_parse_json(try_cast(c.v AS string)) END")
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of equal keys the last holds, as JSON readers do
+    opened = _OPEN.format(v="c.v", parsed="CASE WHEN ltrim(try_cast(c.v AS string)) RLIKE '^[\\\\[{]' AND schema_of_variant(c.v) = 'STRING' THEN " + _whole_json("try_cast(c.v AS string)") + " END")
     children = """flatten(transform(a.front, n -> CASE
         WHEN n.o IS NOT NULL THEN transform(map_entries(n.o), e -> named_struct(
             'path', CASE WHEN n.path = '' THEN e.key ELSE concat(n.path, '.', e.key) END,
@@ -106,7 +113,7 @@ def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields:
     walked = f"""aggregate(sequence(0, _depth), named_struct('front', {root}, 'seen', CAST(array() AS {node})),
         (a, k) -> CASE WHEN size(a.front) = 0 THEN a ELSE named_struct('front', CAST({next_front} AS {front_type}), 'seen', concat(a.seen, {seen})) END, a -> a.seen)"""
     parsed = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{payload}`").alias("_text")).where(F.col("_text").isNotNull())
-    parsed = parsed.withColumn("_v", F.expr("try_parse_json(_text)")).where(F.col("_v").isNotNull())
+    parsed = parsed.withColumn("_v", F.expr(_whole_json("_text"))).where(F.col("_v").isNotNull())
     parsed = parsed.withColumn("_depth", F.expr(_depth_bound("_text")))
     return parsed.select(F.lit(source).alias("source_table"), "rec_id", F.inline(F.expr(walked)))
 

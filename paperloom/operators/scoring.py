@@ -28,8 +28,8 @@ def field_score(pred: Column, truth: Column, declared: str | None = None) -> tup
     p, t = pred.cast("string"), truth.cast("string")
     state = F.when(is_blank(t) & is_blank(p), "absent_both").when(is_blank(t), "hallucination").when(is_blank(p), "missed").otherwise("scored")
     if kind == "numeric":
-        x, y = numbers.loose_number(p), numbers.loose_number(t)
-        score = F.when(x.isNull() | y.isNull(), 0.0).otherwise(numbers.proximity(x, y))
+        both = F.struct(numbers.loose_number(p).alias("x"), numbers.loose_number(t).alias("y"))
+        score = numbers.let(both, lambda v: F.when(v["x"].isNull() | v["y"].isNull(), 0.0).otherwise(numbers.proximity(v["x"], v["y"])))
     elif kind == "inn":
         same = (identifiers.digits(p) == identifiers.digits(t)) & (identifiers.digits(p) != "")
         score = F.when(~same, 0.0).when(identifiers.valid_inn(p), 100.0).otherwise(50.0)

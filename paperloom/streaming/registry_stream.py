@@ -20,7 +20,7 @@ def upsert_stream(records: DataFrame, path: str, key: list[str], order: str, che
 
 def windowed_calls(events: DataFrame, time: str, late: str, width: str) -> DataFrame:
     """Counts and sums of events in windows of event time; what is later than ``late`` is left out once its window closed."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def running_totals(events: DataFrame) -> DataFrame:
