@@ -89,7 +89,7 @@ def osa(a: str, b: str, most: int) -> int:
         if min(now) > most:
             return most + 1
         before, last = last, now
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def deletes(word: str, most: int) -> set[str]:

@@ -107,13 +107,15 @@ def compiled() -> dict[str, str]:
                 add(ch, "".join("-" if ud.category(x) == "Pd" else MARKS.get(x, x) for x in flat if not ud.combining(x) or len(flat) == 1).strip() or " ")
             elif parts[0][0] != "<":
                 whole = ud.normalize("NFC", ch)
-                if whole != ch:
+                if whole != ch and len(whole) == 1:
                     add(ch, whole)
-                elif len(parts) == 2 and kind[0] == "L":
+                elif whole == ch and len(parts) == 2 and kind[0] == "L":
                     add("".join(chr(int(p, 16)) for p in parts), ch)
     for key, value in list(rules.items()):
         for _ in range(3):
             value = "".join(rules.get(x, x) for x in value)
+        if value and all(ud.combining(x) >= 200 for x in value):
+            value = ""
         if any(x in rules for x in value):
             raise Conflict(f"{key!r} gives {value!r}, which isn't plain")
         rules[key] = value
@@ -150,8 +152,8 @@ def _plain_parts(value: str) -> str:
                 j += 1  # an invisible character between a base and its mark
             node = node.get(value[j]) if j < n else None
         piece = value[i] if best is None else best
-        if best is None and ud.combining(value[i]):
-            piece = ""  # a mark that no composed letter has
+        if best is None and ud.combining(value[i]) >= 200:
+            piece = ""  # a mark above or below that no composed letter has
         if len(piece) == 1 and end < n and ud.combining(value[end]) and (more := root.get(piece)) and value[end] in more:
             piece, end = more[value[end]][""], end + 1  # a wide base with a mark
         out.append(piece)
@@ -162,7 +164,6 @@ def _plain_parts(value: str) -> str:
 def _number_run(run: str) -> str:
     forms, digit = alike(), digits()
     out = list(run)
-    known = [x.isdigit() or (x in digit and script(x) != "c") for x in run]
     for i, x in enumerate(run):
         if x.isdigit() or not x.isalpha() and x != "|":
             continue
@@ -174,11 +175,12 @@ def _number_run(run: str) -> str:
                 right += 1
             before, after = left > 0 and run[left - 1].isdigit(), right < len(run) - 1 and run[right + 1].isdigit()
             edge = x in "OoОоΟοlIІіΙι|ıӀӏ" and (before and right == len(run) - 1 or after and left == 0)
-            if before and after or edge or (known[i] and x == "l"):
+            if before and after or edge:
                 out[i] = digit[x]
                 continue
         out[i] = forms.get(x, {}).get("c", x)
-    return "".join(out)
+    settled = "".join(out)
+    return settled if settled == run else _number_run(settled)  # a letter read as a digit may make its neighbour one
 
 
 def _name_run(run: str) -> str:
