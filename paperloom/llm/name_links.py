@@ -46,6 +46,10 @@ def _read(values: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "block", "cores", "slot1", "slot2", "full", "plain"], dtype=object)
 
 
+# A filter on its result would else be moved before the aggregation, and every row would be parsed.
+_read = _read.asNondeterministic()
+
+
 def spellings(frames: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(field_path, name, n, parts...) of every distinct value of fields {field_path: (frame, column, kinds)}."""
     parts = [df.select(F.lit(p).alias("field_path"), F.lit(k).alias("kinds"), F.col(c).alias("name")) for p, (df, c, k) in frames.items()]
