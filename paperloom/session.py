@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,37 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the executors' Python, once for each context, wherever they run.
+
+    The archive goes to the shared folder where the cluster names one.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_paperloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, Path(package.name) / source.relative_to(package))
+    name = f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    if shared := _shared_folder(spark):
+        path = spark._jvm.org.apache.hadoop.fs.Path(shared, name)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(packed.getvalue())
+        out.close()
+        context.addPyFile(path.toString())
+    else:
+        local = Path(tempfile.mkdtemp(prefix="paperloom-")) / name
+        local.write_bytes(packed.getvalue())
+        context.addPyFile(str(local))
+    context._paperloom_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read back.
 
@@ -33,11 +68,11 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperloom-"))
+        context.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="paperloom-"))
     return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
