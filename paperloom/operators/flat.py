@@ -30,6 +30,18 @@ def flat(df: DataFrame, keep: list[str], columns: dict[str, tuple[str, str]], co
     return df.select(*keep, *cells, *[c.alias(n) for n, c in (constants or {}).items()])
 
 
+def with_verdict(df: DataFrame, verdict: Column, review: Column, advisory: list[str]) -> DataFrame:
+    """``df`` with the columns that carry an audit's outcome; without one, the record counts as unchecked and for review."""
+    checked = verdict.isNotNull() & (verdict != "")
+    return df.withColumns({"Verdict": F.coalesce(verdict, F.lit("")), "VerdictValid": F.when(checked, verdict != "discrepancy"), "RequiresHumanReview": review | ~checked, "AdvisoryReview": F.coalesce(verdict.isin(*advisory), F.lit(False))})
+
+
+def unwrapped(df: DataFrame, data: str, carried: list[str]) -> DataFrame:
+    """The fields of a record's payload, and of ``carried`` those that the payload lacks."""
+    own = df.schema[data].dataType.names
+    return df.select(f"{data}.*", *[c for c in carried if c not in own])
+
+
 # The flat columns of deductions and claims.
 DEDUCTION = {
     "DocNumber": ("text", "doc_number"), "DocDate": ("date", "doc_date"), "IpNumber": ("text", "ip_number"), "Authority": ("text", "authority.name"),

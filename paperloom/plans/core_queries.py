@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import blanks, dates, evidence, identifiers, numbers, paths, text
-from paperloom.operators import audit, flat, registry, rollup, routing, scoring
+from paperloom.operators import audit, flat, guardrails, recovery, registry, rollup, routing, scoring
 from paperloom.session import table
 from paperloom.sources import files, replies
 
@@ -414,6 +414,54 @@ def q_file_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "enforcement_orders").select("rec_id", identifiers.case_file_number(n).alias("ip_number"), text.office_code(n).alias("office"), identifiers.file_number_score(n).alias("format_score"))
 
 
+# -- guardrails and formats
+
+GUARDS = [("doc_number", "not_empty"), ("doc_date", "date_format"), ("sender.inn", "valid_inn"), ("finances.total_claim_rub", "positive_number"), ("city", "required")]
+
+
+def _guard_sql(path: str, kind: str) -> str:
+    x = f"CAST({path} AS VARCHAR)"
+    filled = f"coalesce({_trim(x)}, '') <> ''"
+    test = {"date_format": f"{_date(x)} IS NOT NULL", "valid_inn": _inn(x), "positive_number": f"{path} > 0"}.get(kind, "true")
+    return f"CAST(({filled} AND coalesce({test}, false)) AS INT)"
+
+
+@query("SELECT rec_id, p AS rules_passed, round(p * 100.0 / 5, 1) AS rule_score, p = 5 AS guard_passed FROM (SELECT rec_id, " + " + ".join(_guard_sql(*g) for g in GUARDS) + " AS p FROM legal_claims)")
+def q_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guardrails.guarded(table(spark, sf_dir, "legal_claims"), GUARDS).select("rec_id", "rules_passed", "rule_score", "guard_passed")
+
+
+_C, _AD = _trim("case_number"), _trim("act_date")
+
+
+@query(rf"""SELECT rec_id, CAST(CASE WHEN coalesce(case_number, '') = '' THEN 0 WHEN f AND length({_C}) >= 6 AND NOT regexp_matches({_C}, '[/–-]') THEN 60 WHEN f THEN 100 ELSE 40 END AS DOUBLE) AS case_score,
+    CAST(CASE WHEN coalesce(act_date, '') = '' THEN 0 WHEN regexp_matches({_AD}, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]|$)') OR regexp_matches({_AD}, '(^|\D)\d{{1,2}}[./\-]\d{{1,2}}[./\-]\d{{2,4}}(\D|$)') THEN 100
+        WHEN regexp_matches(lower({_AD}), '(?:{'|'.join(ns.split()[0][:-1] for m, ns in dates.MONTHS.items() if m != 5)})') OR regexp_matches(lower({_AD}), '(^|[^а-яёa-z0-9_])ма(?:я|е|й|ю)?([^а-яёa-z0-9_]|$)') THEN 95 ELSE 20 END AS DOUBLE) AS date_score,
+    CAST(CASE WHEN coalesce(d, '') = '' THEN 0 WHEN regexp_extract(d, '(^|\D)(\d{{12}}|\d{{10}})(\D|$)', 2) = '' THEN 50 WHEN {_inn("regexp_extract(d, '(^|\D)(\d{12}|\d{10})(\D|$)', 2)")} THEN 100 ELSE 0 END AS DOUBLE) AS inn_score
+    FROM (SELECT *, claimant.details AS d, regexp_matches({_C}, '^[А-Яа-я0-9A-Za-z\s\p{{Z}}№\-–—/.]+$') AND length({_C}) >= 4 AND regexp_matches({_C}, '[0-9]') AS f FROM executive_documents)""")
+def q_format_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "executive_documents")
+    return df.select("rec_id", guardrails.case_number_score(F.col("case_number")).alias("case_score"), guardrails.date_score(F.col("act_date")).alias("date_score"), guardrails.inn_in_text_score(F.col("claimant.details")).alias("inn_score"))
+
+
+_PARTS = [f"finances.{c}" for c in ("main_debt_rub", "interest_penalty_rub", "court_fee_rub", "other_rub")]
+_SUM, _ANY = " + ".join(f"coalesce({p}, 0.0::DOUBLE)" for p in _PARTS), " OR ".join(f"{p} IS NOT NULL" for p in _PARTS)
+
+
+@query(f"""SELECT rec_id, CAST(CASE WHEN NOT has AND NOT filled THEN 100 WHEN has AND NOT filled THEN 95 WHEN has THEN CASE WHEN off <= 0.05 THEN 100 WHEN off <= 1.0 THEN 90 ELSE round(greatest(0.0, 1 - off / greatest(t, 1.0)) * 100, 2) END ELSE 90 END AS DOUBLE) AS balance
+    FROM (SELECT rec_id, finances.total_rub AS t, coalesce(finances.total_rub > 0, false) AS has, ({_ANY}) AS filled, abs({_SUM} - finances.total_rub) AS off FROM executive_documents)""")
+def q_balance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "executive_documents")
+    return df.select("rec_id", guardrails.balance_score(F.col("finances.total_rub"), *[F.col(p) for p in _PARTS]).alias("balance"))
+
+
+@query("SELECT count(*) AS extracted, count(*) FILTER (late) AS escalated, count(*) FILTER (again) AS kept_first, count(*) FILTER (late) + count(*) FILTER (again) AS second_runs, round(count(*) FILTER (late) * 100.0 / count(*), 1) AS escalation_rate FROM (SELECT processed_at > received_at + INTERVAL '2 days' AS late, has_signature_stamp AS again, processed_at IS NOT NULL AS done FROM enforcement_orders) WHERE done")
+def q_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records processed late read as escalated ones."""
+    df = table(spark, sf_dir, "enforcement_orders").select((F.col("processed_at") > F.col("received_at") + F.expr("INTERVAL '2' DAY")).alias("late"), F.col("has_signature_stamp").alias("again"), F.when(F.col("processed_at").isNull(), "FAILED").alias("status"))
+    return recovery.escalations(df, "late", "again")
+
+
 # -- projections
 
 
@@ -466,6 +514,13 @@ def q_amounts_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
+@query()
+def q_recovered_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of documents that state none, from their own text."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("debt"))
+    return recovery.recovered(df, "text", ["total"], {"total": ("total_rub", "main_debt_rub"), "debt": ("main_debt_rub", None)}).select("doc_id", "total", "debt", "recovered")
+
+
 @query()
 def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the case number stands in the text."""

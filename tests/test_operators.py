@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import audit, flat, nested, registry, rollup, routing, scoring
+from paperloom.operators import audit, flat, guardrails, nested, recovery, registry, rollup, routing, scoring
 
 
 def rows(df):
@@ -165,3 +165,46 @@ def test_flat_rows(spark):
     df = spark.createDataFrame([(1, "5.6.2020", None, ("nan", 12.5)), (2, None, " x ", None)], "id int, doc_date string, n string, f struct<t:string,a:double>")
     out = flat.flat(df, ["id"], {"Date": ("date", "doc_date"), "N": ("text", "f.t|n"), "A": ("number", "f.a"), "Z": ("text", "zz")}, {"Code": F.lit(10)})
     assert rows(out) == [(1, "2020-06-05", "", 12.5, "", 10), (2, "", "x", 0.0, "", 10)]
+
+
+# -- guardrails, formats, recovery
+
+
+def test_guardrails(spark):
+    df = spark.createDataFrame([(1, "5", "01.02.2020", "50%", "7707083893", "10701/16/3001-ИП"), (2, " ", "31.02.2020", "150%", "7707083890", ""), (3, None, None, None, None, None)], "id int, a string, d string, p string, inn string, ip string")
+    rules = [("a", "not_empty"), ("a", "positive_number"), ("d", "date_format"), ("p", "valid_percentage"), ("inn", "valid_inn"), ("ip", "ip_number_format_optional"), ("zz.y", "required"), ("a", "odd")]
+    odd = []
+    out = {r["id"]: (r["rules_passed"], r["rules_total"], r["failed_rules"]) for r in guardrails.guarded(df, rules, odd.append).collect()}
+    assert odd == ["odd"]
+    assert out[1] == (6, 7, ["zz.y:required"]) and out[2][0] == 1 and out[3][0] == 1
+    assert not guardrails.guarded(df, []).first()["guard_passed"] and guardrails.guarded(df, []).first()["rule_score"] == 0.0
+
+
+def test_format_scores(spark):
+    df = spark.createDataFrame([("А40-1234/2021", "2021-03-15", "ИНН 7707083893"), ("1234567", "15 марта 2021", "ИНН 7707083890"), ("?!", "сумма", "без номера"), (None, "", None)], "c string, d string, i string")
+    got = [tuple(r) for r in df.select(guardrails.case_number_score(F.col("c")), guardrails.date_score(F.col("d")), guardrails.inn_in_text_score(F.col("i"))).collect()]
+    assert got == [(100.0, 100.0, 100.0), (60.0, 95.0, 0.0), (40.0, 20.0, 50.0), (0.0, 0.0, 0.0)]
+    b = spark.createDataFrame([(1070.0, 1000.0, 70.0), (1070.5, 1000.0, 70.0), (2000.0, 1000.0, None), (5.0, None, None), (None, 1.0, None), (None, None, None)], "t double, a double, b double")
+    assert [r[0] for r in b.select(guardrails.balance_score(F.col("t"), F.col("a"), F.col("b"))).collect()] == [100.0, 90.0, 50.0, 95.0, 90.0, 100.0]
+
+
+def test_recovery_fills_only_where_all_totals_are_blank(spark):
+    text = "Взыскать основной долг 250 000 руб., пени 15 000 руб."
+    df = spark.createDataFrame([(1, text, None, 0.0), (2, text, 5.0, None), (3, None, None, None), (4, "", None, 7.0)], "id int, t string, total double, debt double")
+    out = {r["id"]: (r["total"], r["debt"], r["recovered"]) for r in recovery.recovered(df, "t", ["total"], {"total": ("total_rub", None), "debt": ("main_debt_rub", None)}).collect()}
+    assert out == {1: (265000.0, 250000.0, ["total", "debt"]), 2: (5.0, None, []), 3: (None, None, []), 4: (None, 7.0, [])}
+
+
+def test_states(spark):
+    df = spark.createDataFrame([("FAILED", "verified", False, "ocr"), ("OK", "discrepancy", True, "vlm_transcription"), (None, None, False, None)], "s string, v string, e boolean, p string")
+    got = [tuple(r) for r in df.select(recovery.needs_review(F.col("s"), F.col("v"), ["discrepancy"]), recovery.document_status(F.coalesce(F.col("s") == "FAILED", F.lit(False)), F.col("e")), recovery.provenance(F.col("p"))).collect()]
+    assert got == [(True, "FAILED", "independent"), (True, "NEEDS_REVIEW", "dependent"), (False, "COMPLETED", "none")]
+    q = df.select(recovery.combined_quality(F.lit(96.0), F.col("e"), F.lit(True), F.lit(5)).alias("q")).collect()
+    assert [tuple(r["q"]) for r in q] == [(71.0, "satisfactory"), (71.0, "needs_attention"), (71.0, "satisfactory")]
+
+
+def test_verdict_columns_and_unwrapping(spark):
+    df = spark.createDataFrame([(1, (5, "in"), "out", "verified"), (2, (6, None), "out", "discrepancy"), (3, None, None, None)], "id int, data struct<a:int,b:string>, b string, verdict string")
+    got = [tuple(r) for r in flat.with_verdict(df, F.col("verdict"), F.col("verdict") == "discrepancy", ["partially_verified"]).select("Verdict", "VerdictValid", "RequiresHumanReview", "AdvisoryReview").collect()]
+    assert got == [("verified", True, False, False), ("discrepancy", False, True, False), ("", None, True, False)]
+    assert flat.unwrapped(df, "data", ["b", "id"]).columns == ["a", "b", "id"]
