@@ -50,6 +50,7 @@ def _remarks(words: Iterable[str]) -> frozenset[str]:
 
 
 _TAILS = {False: _remarks(lexicon.AFTER), True: _remarks([*map(transliterate, lexicon.AFTER), *map(typed_on_latin, lexicon.AFTER)])}
+_LONGEST_TAIL = max(len(w) for ws in _TAILS.values() for w in ws) + 2
 _NUMBERED = re.compile(r"[\s,;(/-]*\b(?:см|sm|cv)\.? (?:прил|pril|ghbk)\.?\s*\d*\W*$|[\s,;(/-]*\b(?:от|ot|jn) \d[\d.]*\W*$|\s*(?:№|no\.?)\s*\d+\W*$|\s*\(\d+ (?:экз|ekz|'rp)\.?\W*$|[\s,(]*\b(?:б/н|b/n|,/y)\W*$|\s+(?:тип|н|вид)\.?:$")
 _LEADS = re.compile(rf"^\W*(?:\d+\)\s*|(?:{'|'.join([*lexicon.BEFORE, *map(transliterate, lexicon.BEFORE), *map(typed_on_latin, lexicon.BEFORE)])})(?:\.?:|\s*[-–—]\s)\s*)")
 
@@ -60,10 +61,10 @@ def trimmed(text: str) -> str:
     while True:
         less = _LEADS.sub("", _NUMBERED.sub("", text), count=1)
         tail = re.search(r"(?:[\s]*[-–—,(\[/«\"]+\s*)([^\W\d_](?:[^\W\d_]|,(?=[^\W\d_]))+)\W*$", less)
-        if tail and tail.start() and not _TAILS[tail[1].isascii()].isdisjoint(deletes(tail[1], 2 if len(tail[1]) > 5 else 1)):
+        if tail and tail.start() and len(tail[1]) <= _LONGEST_TAIL and not _TAILS[tail[1].isascii()].isdisjoint(deletes(tail[1], 2 if len(tail[1]) > 5 else 1)):
             less = less[: tail.start()]
         head = re.match(r"[(\[/]([^\W\d_]{3,})[)\]/]\s*(?=\w)", less)
-        if head and not _TAILS[head[1].isascii()].isdisjoint(deletes(head[1], 1)):
+        if head and len(head[1]) <= _LONGEST_TAIL and not _TAILS[head[1].isascii()].isdisjoint(deletes(head[1], 1)):
             less = less[head.end() :]
         if less == text:
             return text
@@ -88,6 +89,7 @@ class Matcher:
 
     def __init__(self, entries: Iterable[tuple[int, str, str]], counts: dict[int, int]):
         self.counts = counts
+        self.longest = 0
         self.known: dict[tuple[str, ...], tuple[float, int, int]] = {}
         self.letters: dict[str, list[Counter[str]]] = defaultdict(list)
         self.starts: dict[tuple[str, str], set[int]] = defaultdict(set)
@@ -115,6 +117,7 @@ class Matcher:
                 self.phrases[field].append((words, key, ref))
                 self.letters[field].append(Counter("".join(words)))
                 for w in {*words, "".join(words)}:
+                    self.longest = max(self.longest, len(w))
                     for d in deletes(w, allowed(w)):
                         self.index[field, d].add(at)
                     for n in range(3, len(w)):
@@ -144,6 +147,8 @@ class Matcher:
         most = SHARE * size if size >= LEAST else 0
         shared: Counter[int] = Counter()
         for w in {*words, "".join(words)}:
+            if len(w) > self.longest + 2:
+                continue  # farther from every word than any bound
             ats: set[int] = set()
             for d in deletes(w, allowed(w)):
                 ats |= self.index.get((field, d), set())

@@ -105,7 +105,7 @@ class Model:
         if plain != word and plain in self.words:
             return self.words[plain]
         for n in range(LONGEST, 0, -1):
-            if found := [self.grams[x] for x in grams(plain[:60], n) if x in self.grams]:
+            if found := [self.grams[x] for x in grams(plain, n) if x in self.grams]:
                 score = np.mean(found, axis=0) * min(3.0, len(found))
                 return score - score.max()
         return np.zeros(len(LANGS))

@@ -9,7 +9,7 @@ Names that agree in all parts are one node. A node with missing or cut parts, or
 on the best node that has them in full or is written in more ways; nodes written in three ways or more stand for
 themselves. What hangs together is one entity.
 
-Nulls, blanks and stand-ins are in no entity. Repeated rows count, but give no further spellings.
+Cores over ``LONG`` letters have no neighbours. Nulls, blanks and stand-ins are in no entity. Repeated rows count, but give no further spellings.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from paperloom.session import durable
 
 #: Letters of the shards, least length of a core for one and for two slips, and ways of writing that make a node stand.
 SHARD, ONE, TWO, STANDS = 3, 4, 8, 3
+#: Letters beyond which cores are compared letter for letter.
+LONG = 100
 #: Cores of one shard that go into one trie; a larger shard is cut into several.
 TRIE = 200_000
 _S = T.StringType()
@@ -34,7 +36,7 @@ PARSED = T.StructType([T.StructField(n, T.ArrayType(_S) if n == "cores" else T.B
 
 
 def slips(core: str) -> int:
-    return 0 if len(core) < ONE else 1 if len(core) < TWO else 2
+    return 0 if len(core) < ONE or len(core) > LONG else 1 if len(core) < TWO else 2
 
 
 @F.pandas_udf(PARSED)
@@ -103,7 +105,7 @@ def neighbours(cores: DataFrame) -> DataFrame:
     cores = durable(cores)
     keys = F.array_distinct(F.array(*[F.concat(F.lit(f"{s}{k}"), F.substring("core", 1, k) if s == "<" else F.expr(f"right(core, {k})")) for s in "<>" for k in (SHARD, 2)]))
     short = F.filter(keys, lambda x: F.when(F.length("core") < 6, F.length(x) == 4).when(F.length("core") < 8, F.lit(True)).otherwise(F.length(x) == 2 + SHARD))
-    routed = cores.where(F.length("core") >= ONE).select("space", "core", F.explode(short).alias("route"))
+    routed = cores.where(F.length("core").between(ONE, LONG)).select("space", "core", F.explode(short).alias("route"))
     parts = F.ceil(F.count(F.lit(1)) / F.lit(TRIE))
     sized = routed.groupBy("space", "route").agg(parts.alias("parts"))
     entry = routed.join(sized, ["space", "route"])

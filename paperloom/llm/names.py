@@ -262,7 +262,7 @@ def organisation(text: str) -> Name:
     return Name("o", "", (core,), form, "", bool(form))
 
 
-_REGION = re.compile(r"([^\W\d_]+)\s+(область|области|обл|oblast|oblasti|obl|kr|края|край|краю|кр|krai|kray|kraya)\b\.?|(?:республик\w|респ|respublik\w|resp)\b\.?\s+([^\W\d_]+)")
+_REGION = re.compile(r"(?<![^\W\d_])([^\W\d_]+)\s+(область|области|обл|oblast|oblasti|obl|kr|края|край|краю|кр|krai|kray|kraya)\b\.?|(?:республик\w|респ|respublik\w|resp)\b\.?\s+([^\W\d_]+)")
 
 
 # Endings of places' adjectives and names; those of the first pattern may be mistyped.

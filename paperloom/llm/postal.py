@@ -86,7 +86,7 @@ def read(value: str | None) -> Address | None:
             low = low[: found.start()] + " , " + low[found.end() :]
             break
     street = sort = town = ""
-    name = r"([^\W\d_]{3,}(?:-[^\W\d_]+)?)"
+    name = r"(?<![^\W\d_])([^\W\d_]{3,}(?:-[^\W\d_]+)?)"
     for pattern, at in ((rf"(?<![\w-])({_SORT})(?![\w-])\.?\s*{name}", 2), (rf"{name}\s+({_SORT})(?![\w-])\.?", 1)):
         for found in re.finditer(pattern, low):
             kind, word = found[3 - at], found[at]

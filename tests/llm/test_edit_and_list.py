@@ -101,3 +101,10 @@ def test_blocks_of_the_list_give_the_same(spark, tiny, monkeypatch):
     whole = sorted(map(tuple, queries.p1_found(spark, tiny).collect()))
     monkeypatch.setattr(canon_list, "BLOCK", 20)
     assert sorted(map(tuple, queries.p1_found(spark, tiny).collect())) == whole
+
+
+def test_very_long_values_end(matcher):
+    rng = random.Random(12)
+    word = "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(100_000))
+    for value in (word, "исполнительный " + word, f"{word} - {word}", "лист " * 20_000, f"({word}) x"):
+        assert matcher.best(DOC, value)[2] == canon_list.MISS

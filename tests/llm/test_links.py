@@ -125,3 +125,13 @@ def test_queries_give_each_pair_once_in_order(spark, tiny):
     for name, a, b in (("p3_found", "name_a", "name_b"), ("p5_found", "address_a", "address_b")):
         df = queries.QUERIES[name](spark, tiny)
         assert df.where(F.col(a) >= F.col(b)).count() == 0 and df.count() == df.distinct().count() > 0
+
+
+def test_very_long_values_end(spark):
+    rng = random.Random(13)
+    word = "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(50_000))
+    for value in (word, f"ООО «{word}»", f"Иванов {word} Петрович", f"{word} район", f"г. {word}, ул. {word}, д. 5", f"{word} {word} {word}"):
+        for kinds in ("p", "pot", "c"):
+            names.read(value, kinds)
+        postal.read(value)
+    assert linked(spark, [f"ООО «{word}»", f"ООО «{word}а»", f"ооо {word}"]) == {tuple(sorted((f"ООО «{word}»", f"ооо {word}")))}
