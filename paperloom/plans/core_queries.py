@@ -437,7 +437,7 @@ _C, _AD = _trim("case_number"), _trim("act_date")
 @query(rf"""SELECT rec_id, CAST(CASE WHEN coalesce(case_number, '') = '' THEN 0 WHEN f AND length({_C}) >= 6 AND NOT regexp_matches({_C}, '[/–-]') THEN 60 WHEN f THEN 100 ELSE 40 END AS DOUBLE) AS case_score,
     CAST(CASE WHEN coalesce(act_date, '') = '' THEN 0 WHEN regexp_matches({_AD}, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]|$)') OR regexp_matches({_AD}, '(^|\D)\d{{1,2}}[./\-]\d{{1,2}}[./\-]\d{{2,4}}(\D|$)') THEN 100
         WHEN regexp_matches(lower({_AD}), '(?:{'|'.join(ns.split()[0][:-1] for m, ns in dates.MONTHS.items() if m != 5)})') OR regexp_matches(lower({_AD}), '(^|[^а-яёa-z0-9_])ма(?:я|е|й|ю)?([^а-яёa-z0-9_]|$)') THEN 95 ELSE 20 END AS DOUBLE) AS date_score,
-    CAST(CASE WHEN coalesce(d, '') = '' THEN 0 WHEN regexp_extract(d, '(^|\D)(\d{{12}}|\d{{10}})(\D|$)', 2) = '' THEN 50 WHEN {_inn("regexp_extract(d, '(^|\D)(\d{12}|\d{10})(\D|$)', 2)")} THEN 100 ELSE 0 END AS DOUBLE) AS inn_score
+    CAST(CASE WHEN coalesce(d, '') = '' THEN 0 WHEN regexp_extract(d, '(^|\D)(\d{{12}}|\d{{10}})(\D|$)', 2) = '' THEN 50 WHEN {_inn(r"regexp_extract(d, '(^|\D)(\d{12}|\d{10})(\D|$)', 2)")} THEN 100 ELSE 0 END AS DOUBLE) AS inn_score
     FROM (SELECT *, claimant.details AS d, regexp_matches({_C}, '^[А-Яа-я0-9A-Za-z\s\p{{Z}}№\-–—/.]+$') AND length({_C}) >= 4 AND regexp_matches({_C}, '[0-9]') AS f FROM executive_documents)""")
 def q_format_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "executive_documents")
