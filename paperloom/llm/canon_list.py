@@ -28,8 +28,8 @@ from paperloom.llm.glyphs import unify
 
 #: Entries of the list that go into one dictionary.
 BLOCK = 20_000
-#: Distance that a phrase may have, for each of its letters, and the least length for an edit.
-SHARE, LEAST = 0.3, 4
+#: Distance that a phrase may have, for each of its letters (under six, and from six on), and the least length for an edit.
+SHARE, WIDE, LEAST = 0.3, 0.37, 4
 REMEMBERED = 200_000
 MISS = 0
 
@@ -66,6 +66,10 @@ def trimmed(text: str) -> str:
         head = re.match(r"[(\[/]([^\W\d_]{3,})[)\]/]\s*(?=\w)", less)
         if head and len(head[1]) <= _LONGEST_TAIL and not _TAILS[head[1].isascii()].isdisjoint(deletes(head[1], 1)):
             less = less[head.end() :]
+        less = re.sub(r"^(?:б/н|№\s*\d+)\s+|\s+(?:дубл|ориг|копи)[а-я]*\.$", "", less)
+        first, _, rest = less.partition(" ")
+        if rest.endswith(",") and 2 < len(first) <= _LONGEST_TAIL and not _TAILS[first.isascii()].isdisjoint(deletes(first, 2)):
+            less = rest[:-1]  # the remark stands before: "дубликат ИЛ,"
         if less == text:
             return text
         text = less.strip()
@@ -76,6 +80,9 @@ def forms(value: str) -> list[list[str]]:
     text = trimmed(unify(value, "name") or "")
     out = [[w for w in words_of(text) if not w.isdigit()]]
     if re.search("[a-z]", text):
+        text = re.sub(r"\.{2,}$", "", text)
+        while text[:1] + text[-1:] in ("[]", '""', "«»", "()"):
+            text = text[1:-1]
         out.append([w for w in words_of(trimmed(typed_on_cyrillic(text))) if not w.isdigit()])
     return [x for x in out if x]
 
@@ -144,7 +151,7 @@ class Matcher:
     def _near(self, field: str, words: list[str]) -> tuple[float, int, int]:
         key = " ".join(words)
         size = sum(map(len, words))
-        most = SHARE * size if size >= LEAST else 0
+        most = (SHARE if size < 6 else WIDE) * size if size >= LEAST else 0
         shared: Counter[int] = Counter()
         for w in {*words, "".join(words)}:
             if len(w) > self.longest + 2:
@@ -220,7 +227,10 @@ def map_to_list(values: DataFrame, refs: DataFrame) -> DataFrame:
     ``refs`` has ref_id, field_path and canonical.
     """
     spark = values.sparkSession
-    counts = values.join(F.broadcast(refs.select("field_path", F.col("canonical").alias("value"), "ref_id")), ["field_path", "value"]).groupBy("ref_id").count() if refs.count() <= BLOCK else values.join(refs.select("field_path", F.col("canonical").alias("value"), "ref_id"), ["field_path", "value"]).groupBy("ref_id").count()
+    listed = refs.select("field_path", F.col("canonical").alias("value"), "ref_id")
+    if refs.count() <= BLOCK:
+        listed = F.broadcast(listed)
+    counts = values.join(listed, ["field_path", "value"]).groupBy("ref_id").count()
     ranked = refs.join(counts, "ref_id", "left").select("ref_id", "field_path", "canonical", F.coalesce("count", F.lit(0)).alias("n")).orderBy("ref_id")
     blocks, block = [], []
     for row in ranked.toLocalIterator():
