@@ -224,8 +224,10 @@ def _matching(blocks: list) -> Column:
 def map_to_list(values: DataFrame, refs: DataFrame) -> DataFrame:
     """``values`` (field_path, value, ...) with ``ref_id`` and ``distance``; 0 where the list has no entry.
 
-    ``refs`` has ref_id, field_path and canonical.
+    ``refs`` has ref_id, field_path and canonical. Other columns of ``values`` are kept; those named ``ref_id`` or
+    ``distance`` are replaced.
     """
+    values = values.drop("ref_id", "distance", "_best")
     spark = values.sparkSession
     listed = refs.select("field_path", F.col("canonical").alias("value"), "ref_id")
     if refs.count() <= BLOCK:

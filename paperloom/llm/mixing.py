@@ -36,7 +36,11 @@ def _offset(*key: str) -> Column:
 
 
 def mixed(counts: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(mix_id, source, key, copy, n_tokens): the records of each mixture, ``copy`` counted from 1."""
+    """(mix_id, source, key, copy, n_tokens): the records of each mixture, ``copy`` counted from 1.
+
+    Other columns of ``counts`` are left out, whatever their names.
+    """
+    counts = counts.select(key, source, "n_tokens")
     bucket = F.floor(F.log2(F.col("n_tokens") + 1) * 8)
     placed = ranked(counts.where(F.col(source).isNotNull()).withColumn("_bucket", bucket), [source], ["_bucket"], ["n_tokens", key])
     chosen = placed.join(rates(counts, targets, source).where("rate > 0").select("mix_id", source, "rate", "max_repeats"), source)

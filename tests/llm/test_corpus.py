@@ -158,3 +158,20 @@ def test_few_labels_still_give_a_model():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_runs_at_the_smallest_size(spark, tiny, name):
     assert queries.QUERIES[name](spark, tiny).count() > 0
+
+
+def test_clashing_columns(spark, model):
+    """Columns that carry the operators' own names are kept, replaced or left out as stated, and never in the way."""
+    from paperloom.llm import canon_list
+
+    odd = ["rank", "_salt", "_bucket", "copy", "rate", "container_id", "capacity_tokens", "found", "lines", "tokens", "part", "pack_id"]
+    counts = spark.createDataFrame([(i, "s", 5 + i % 3) for i in range(50)], "doc_id long, source string, n_tokens long").withColumns({c: F.lit("x") for c in odd})
+    targets = spark.createDataFrame([(1, "s", 1.0, 2)], "mix_id long, source string, target_share double, max_repeats int")
+    assert mixing.mixed(counts, targets).groupBy("doc_id").count().count() == 50
+    assert packing.packed(counts, {1: [16]}).where("used_tokens <= capacity_tokens").count() == 50
+    docs = spark.createDataFrame([(1, LINES["ru"], "x", "y")], "doc_id long, text string, found string, lines string")
+    row = langid.labelled(docs, model).first()
+    assert row["found"]["lang"] == "ru" and row["lines"] == "y"
+    values = spark.createDataFrame([("f", "Городской суд", 99, "d")], "field_path string, value string, ref_id long, distance string")
+    refs = spark.createDataFrame([(1, "f", "Городской суд")], "ref_id long, field_path string, canonical string")
+    assert canon_list.map_to_list(values, refs).first()["ref_id"] == 1
