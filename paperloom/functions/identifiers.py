@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.numbers import let
+
 # Weights of the check digits.
 INN10 = [2, 4, 10, 3, 5, 9, 4, 6, 8]
 INN12A = [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
@@ -31,28 +33,35 @@ def _weighted(d: Column, weights: list[int]) -> Column:
 
 def valid_inn(text: Column) -> Column:
     """Ten or twelve digits whose last (two) agree with the others; null and other lengths are not valid."""
-    d = digits(text)
-    ten = _weighted(d, INN10) % 11 % 10 == _at(d, 9)
-    twelve = (_weighted(d, INN12A) % 11 % 10 == _at(d, 10)) & (_weighted(d, INN12B) % 11 % 10 == _at(d, 11))
-    return F.coalesce(F.when(F.length(d) == 10, ten).when(F.length(d) == 12, twelve), F.lit(False))
+
+    def check(d: Column) -> Column:
+        ten = _weighted(d, INN10) % 11 % 10 == _at(d, 9)
+        twelve = (_weighted(d, INN12A) % 11 % 10 == _at(d, 10)) & (_weighted(d, INN12B) % 11 % 10 == _at(d, 11))
+        return F.when(F.length(d) == 10, ten).when(F.length(d) == 12, twelve)
+
+    return F.coalesce(let(digits(text), check), F.lit(False))
 
 
 def valid_snils(text: Column) -> Column:
     """Eleven digits; numbers up to ``SNILS_EXEMPT`` have no check digits."""
-    d = digits(text)
-    total = _weighted(d, list(range(9, 0, -1)))
-    rest = F.when(total < 100, total).when(total.isin(100, 101), 0).otherwise(F.when((total % 101).isin(100, 101), 0).otherwise(total % 101))
-    return F.coalesce((F.length(d) == 11) & ((F.substring(d, 1, 9).cast("int") <= SNILS_EXEMPT) | (rest == F.substring(d, 10, 2).cast("int"))), F.lit(False))
+
+    def rest(total: Column) -> Column:
+        return F.when(total < 100, total).when(total.isin(100, 101), 0).otherwise(F.when((total % 101).isin(100, 101), 0).otherwise(total % 101))
+
+    def check(d: Column) -> Column:
+        key = let(_weighted(d, list(range(9, 0, -1))), rest)
+        return (F.length(d) == 11) & ((F.substring(d, 1, 9).cast("int") <= SNILS_EXEMPT) | (key == F.substring(d, 10, 2).cast("int")))
+
+    return F.coalesce(let(digits(text), check), F.lit(False))
 
 
 def valid_ogrn(text: Column) -> Column:
     """Thirteen digits (remainder by 11) or fifteen (by 13)."""
-    d = digits(text)
 
-    def rest(n: int, by: int) -> Column:
+    def rest(d: Column, n: int, by: int) -> Column:
         return F.substring(d, 1, n).try_cast("bigint") % by % 10 == _at(d, n)
 
-    return F.coalesce(F.when(F.length(d) == 13, rest(12, 11)).when(F.length(d) == 15, rest(14, 13)), F.lit(False))
+    return F.coalesce(let(digits(text), lambda d: F.when(F.length(d) == 13, rest(d, 12, 11)).when(F.length(d) == 15, rest(d, 14, 13))), F.lit(False))
 
 
 def valid_bik(text: Column) -> Column:
@@ -63,9 +72,13 @@ def valid_bik(text: Column) -> Column:
 
 def valid_account(account: Column, bik: Column) -> Column:
     """Twenty digits whose key agrees with the bank's code."""
-    a, b = digits(account), digits(bik)
-    head = F.when(F.startswith(a, F.lit("30101")), F.concat(F.lit("0"), F.substring(b, 5, 2))).otherwise(F.substring(b, 7, 3))
-    return F.coalesce((F.length(a) == 20) & (F.length(b) == 9) & (_weighted(F.concat(head, a), ACCOUNT) % 10 == 0), F.lit(False))
+
+    def check(v: Column) -> Column:
+        head = F.when(F.startswith(v["a"], F.lit("30101")), F.concat(F.lit("0"), F.substring(v["b"], 5, 2))).otherwise(F.substring(v["b"], 7, 3))
+        key = let(F.concat(head, v["a"]), lambda d: _weighted(d, ACCOUNT) % 10)
+        return (F.length(v["a"]) == 20) & (F.length(v["b"]) == 9) & (key == 0)
+
+    return F.coalesce(let(F.struct(digits(account).alias("a"), digits(bik).alias("b")), check), F.lit(False))
 
 
 def valid_kpp(text: Column) -> Column:
