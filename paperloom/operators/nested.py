@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 ROOT = "$"
 NODE = "array<struct<node_path:string,parent_path:string>>"
 FULL_NODE = "array<struct<node_path:string,parent_path:string,fields:map<string,string>>>"
+#: The member that may be an object of texts in place of a text.
+NAME = "name"
 
 
 def _none(fields: bool = False) -> Column:
@@ -32,9 +34,24 @@ def _at(path: Column, i: Column) -> Column:
     return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
 
+def _text(value: Column, dtype: T.DataType) -> Column:
+    return F.to_json(value) if isinstance(dtype, (T.ArrayType, T.MapType)) else value.cast("string")
+
+
+def _listed(value: Column, field: T.StructField) -> Column:
+    return F.transform(value, lambda x, i: F.struct(_at(F.lit(field.name), i).alias("key"), _text(x, field.dataType.elementType).alias("value")))
+
+
 def _scalars(get, dtype: T.StructType) -> Column:
-    pairs = [(F.lit(f.name), get(f.name).cast("string")) for f in dtype.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
-    return F.create_map(*[x for p in pairs for x in p]).cast("map<string,string>")
+    """An object's scalars as text by name; those of lists as ``name[i]``, those of its name, if an object, as ``name.x``."""
+    pairs = [(F.lit(f.name), _text(get(f.name), f.dataType)) for f in dtype.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    inner = [(f.name, g) for f in dtype.fields if f.name == NAME and isinstance(f.dataType, T.StructType) for g in f.dataType.fields if not isinstance(g.dataType, (T.StructType, T.ArrayType))]
+    taken = [f.name for f in dtype.fields]
+    pairs += [(F.lit(f"{n}.{g.name}"), _text(get(n).getField(g.name), g.dataType)) for n, g in inner if f"{n}.{g.name}" not in taken]
+    fields = F.create_map(*[x for p in pairs for x in p]).cast("map<string,string>")
+    lists = [f for f in dtype.fields if isinstance(f.dataType, T.ArrayType) and not _holds_objects(f.dataType)]
+    kept = [F.filter(_listed(get(f.name), f), lambda e: e["value"].isNotNull() & ~e["key"].isin(taken)) for f in lists]
+    return F.map_concat(fields, *[F.coalesce(F.map_from_entries(x), F.create_map().cast("map<string,string>")) for x in kept]) if kept else fields
 
 
 def typed_nodes(value: Column, dtype: T.DataType, path: Column, parent: Column, fields: bool = False) -> Column:
@@ -57,7 +74,9 @@ def objects_of(df: DataFrame, key: str, source: str, fields: bool = False) -> Da
     """(source_table, rec_id, node_path, parent_path[, fields]) for each object below the root of typed records.
 
     ``key`` names the record's id; columns of other names, whatever they are called, are records' fields. With
-    ``fields``, the root has a row too (``$``, no parent), and each row the object's scalars as text.
+    ``fields``, the root has a row too (``$``, no parent), and each row the object's scalars as text: those of a list
+    as ``marks[0]`` (a list in a list as JSON), those of a ``name`` that is an object also as ``name.ru``. A member
+    that is itself called so keeps its value.
     """
     parts = [typed_nodes(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), F.lit(ROOT), fields) for f in df.schema.fields if _holds_objects(f.dataType)]
     if fields:
@@ -104,7 +123,18 @@ def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields:
         c -> c.o IS NOT NULL OR c.a IS NOT NULL)"""
     front_type = "array<struct<path:string,parent:string,o:map<string,variant>,a:array<variant>>>"
     root = f"CAST(array(named_struct('path', '', 'parent', '$', 'o', try_cast(_v AS map<string, variant>), 'a', try_cast(_v AS array<variant>))) AS {front_type})"
-    scalars = "map_filter(transform_values(n.o, (k, v) -> CASE WHEN try_cast(v AS map<string, variant>) IS NULL AND try_cast(v AS array<variant>) IS NULL THEN try_cast(v AS string) END), (k, v) -> v IS NOT NULL)"
+    kind_o, kind_a = "try_cast({0} AS map<string, variant>) IS NOT NULL", "try_cast({0} AS array<variant>) IS NOT NULL"
+    open_x = f"coalesce({opened.replace('c.v', 'x')}, x)"
+    # A list in a list has its place in the text of the outer one; lists of nothing but objects have their rows.
+    leaf = f"CASE WHEN {kind_o.format('y')} THEN NULL WHEN {kind_a.format('y')} THEN CASE WHEN NOT schema_of_variant(y) RLIKE '^(ARRAY<)+(OBJECT|VOID)' THEN to_json(y) END ELSE try_cast(y AS string) END"
+    pair = "CAST({0} AS array<struct<key:string,value:string>>)"
+    listed = f"transform(transform(try_cast(e.value AS array<variant>), x -> {open_x}), (y, i) -> named_struct('key', concat(e.key, '[', i, ']'), 'value', {leaf}))"
+    inside = f"transform(map_entries(try_cast(e.value AS map<string, variant>)), d -> named_struct('key', concat(e.key, '.', d.key), 'value', CASE WHEN {kind_o.format('d.value')} OR {kind_a.format('d.value')} THEN NULL ELSE try_cast(d.value AS string) END))"
+    members = f"""flatten(transform(map_entries(transform_values(n.o, (k, x) -> {open_x})), e -> CASE
+        WHEN {kind_o.format("e.value")} THEN CASE WHEN e.key = '{NAME}' THEN filter({pair.format(inside)}, p -> NOT map_contains_key(n.o, p.key)) ELSE {pair.format("array()")} END
+        WHEN {kind_a.format("e.value")} THEN filter({pair.format(listed)}, p -> NOT map_contains_key(n.o, p.key))
+        ELSE {pair.format("array(named_struct('key', e.key, 'value', try_cast(e.value AS string)))")} END))"""
+    scalars = f"map_from_entries(filter({members}, p -> p.value IS NOT NULL))"
     if fields:
         row = f"named_struct('node_path', CASE WHEN n.path = '' THEN '$' ELSE n.path END, 'parent_path', CASE WHEN n.path <> '' THEN n.parent END, 'fields', {scalars})"
         seen = f"CAST(transform(filter(a.front, n -> n.o IS NOT NULL), n -> {row}) AS {node})"
@@ -120,7 +150,7 @@ def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields:
 
 # The members of the record types that hold parties, and the marks of items and of totals in a path.
 PARTIES = ["seller", "buyer", "party_one", "party_two", "sender", "recipient"]
-ITEM = r"^items(\[\d+\]|\.\d+)*(\.\w+(\[\d+\])+)*$"
+ITEM = r"^items($|[.\[])"
 TOTAL = r"^finances(\.totals|\.breakdown\[\d+\])?$"
 
 
@@ -155,9 +185,12 @@ def parties_table(nodes: DataFrame) -> DataFrame:
 
 
 def items_table(nodes: DataFrame) -> DataFrame:
-    """One row for each item and for each part of an item, which has the item as its parent."""
+    """One row for each item and for each object within an item (parts, makers, ...), which has the item as its parent.
+
+    A name that is an object has its row, too; the item's name is its Russian text. ``fields`` has all scalars.
+    """
     amounts = [amount(_field(n)).alias(n) for n in ("quantity", "price", "amount_no_vat", "vat_amount", "total_amount")]
-    return nodes.where(F.col("node_path").rlike(ITEM)).select("source_table", "rec_id", "node_path", "parent_path", _field("row_num").alias("row_num"), _field("name").alias("name"), _field("unit").alias("unit"), _field("vat_rate").alias("vat_rate"), *amounts)
+    return nodes.where(F.col("node_path").rlike(ITEM)).select("source_table", "rec_id", "node_path", "parent_path", _field("row_num").alias("row_num"), _field(NAME, f"{NAME}.ru").alias("name"), _field("unit").alias("unit"), _field("vat_rate").alias("vat_rate"), *amounts, "fields")
 
 
 def totals_table(nodes: DataFrame) -> DataFrame:

@@ -63,6 +63,23 @@ def test_flat_tables_know_document_and_parent(spark):
     assert [(r["node_path"], r["measure"], r["amount"]) for r in nested.totals_table(nodes).collect()] == [("finances.totals", "total_rub", 1439.5)]
 
 
+def test_items_keep_names_and_details_that_are_objects(spark):
+    item = {"name": {"ru": "Труба", "code": "5"}, "marks": ["A1", None, ["B", "C"]], "components": [{"name": "y", "maker": {"country": "РФ"}}], "unit": '{"k": "кг"}'}
+    nodes = nested.json_objects_of(spark.createDataFrame([(7, json.dumps({"items": [item, '{"name": "z"}', "w"]}, ensure_ascii=False))], "id long, p string"), "id", "p", "raw", True)
+    got = {r["node_path"]: (r["parent_path"], r["name"], r["unit"], r["fields"]) for r in nested.items_table(nodes).collect()}
+    assert got == {
+        "items[0]": ("$", "Труба", None, {"name.ru": "Труба", "name.code": "5", "marks[0]": "A1", "marks[2]": '["B","C"]'}),
+        "items[0].name": ("items[0]", None, None, {"ru": "Труба", "code": "5"}),
+        "items[0].unit": ("items[0]", None, None, {"k": "кг"}),
+        "items[0].components[0]": ("items[0]", "y", None, {"name": "y"}),
+        "items[0].components[0].maker": ("items[0].components[0]", None, None, {"country": "РФ"}),
+        "items[1]": ("$", "z", None, {"name": "z"}),
+    }
+    typed = spark.createDataFrame([(1, [(("Труба", "5"), ["A1", None])])], "id long, items array<struct<name:struct<ru:string,code:string>,marks:array<string>>>")
+    got = {r["node_path"]: (r["name"], r["fields"]) for r in nested.items_table(nested.objects_of(typed, "id", "t", True)).collect()}
+    assert got == {"items[0]": ("Труба", {"name.ru": "Труба", "name.code": "5", "marks[0]": "A1"}), "items[0].name": (None, {"ru": "Труба", "code": "5"})}
+
+
 # -- scoring and audit
 
 
