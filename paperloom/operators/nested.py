@@ -20,6 +20,9 @@ NODE = "array<struct<node_path:string,parent_path:string>>"
 FULL_NODE = "array<struct<node_path:string,parent_path:string,fields:map<string,string>>>"
 #: The member that may be an object of texts in place of a text.
 NAME = "name"
+#: The members of the record types that hold parties; those whose objects have rows in a table that carries them whole.
+PARTIES = ["seller", "buyer", "party_one", "party_two", "sender", "recipient"]
+OWN = [*PARTIES, "items"]
 
 
 def _none(fields: bool = False) -> Column:
@@ -42,8 +45,15 @@ def _listed(value: Column, field: T.StructField) -> Column:
     return F.transform(value, lambda x, i: F.struct(_at(F.lit(field.name), i).alias("key"), _text(x, field.dataType.elementType).alias("value")))
 
 
-def _scalars(get, dtype: T.StructType) -> Column:
-    """An object's scalars as text by name; those of lists as ``name[i]``, those of its name, if an object, as ``name.x``."""
+def _scalars(get, dtype: T.StructType, root: bool = False) -> Column:
+    """An object's scalars as text by name; those of lists as ``name[i]``, those of its name, if an object, as ``name.x``.
+
+    Of a root also the objects and lists, as JSON, that are no parties or items.
+    """
+    if root:
+        whole = [(f.name, F.to_json(get(f.name))) for f in dtype.fields if isinstance(f.dataType, (T.StructType, T.ArrayType)) and f.name not in OWN]
+        rest = F.create_map(*[x for n, c in whole for x in (F.lit(n), c)]).cast("map<string,string>")
+        return F.map_concat(_scalars(get, T.StructType([f for f in dtype.fields if f.name not in [n for n, _ in whole]])), rest)
     pairs = [(F.lit(f.name), _text(get(f.name), f.dataType)) for f in dtype.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType))]
     inner = [(f.name, g) for f in dtype.fields if f.name == NAME and isinstance(f.dataType, T.StructType) for g in f.dataType.fields if not isinstance(g.dataType, (T.StructType, T.ArrayType))]
     taken = [f.name for f in dtype.fields]
@@ -76,11 +86,11 @@ def objects_of(df: DataFrame, key: str, source: str, fields: bool = False) -> Da
     ``key`` names the record's id; columns of other names, whatever they are called, are records' fields. With
     ``fields``, the root has a row too (``$``, no parent), and each row the object's scalars as text: those of a list
     as ``marks[0]`` (a list in a list as JSON), those of a ``name`` that is an object also as ``name.ru``. A member
-    that is itself called so keeps its value.
+    that is itself called so keeps its value. The root also has its objects and lists that are no parties or items, as JSON.
     """
     parts = [typed_nodes(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), F.lit(ROOT), fields) for f in df.schema.fields if _holds_objects(f.dataType)]
     if fields:
-        parts.insert(0, F.array(F.struct(F.lit(ROOT).alias("node_path"), F.lit(None).cast("string").alias("parent_path"), _scalars(lambda n: F.col(f"`{n}`"), df.schema).alias("fields"))))
+        parts.insert(0, F.array(F.struct(F.lit(ROOT).alias("node_path"), F.lit(None).cast("string").alias("parent_path"), _scalars(lambda n: F.col(f"`{n}`"), df.schema, True).alias("fields"))))
     nodes = F.concat(*parts) if parts else _none(fields)
     return df.select(F.lit(source).alias("source_table"), F.col(f"`{key}`").alias("rec_id"), F.inline(nodes))
 
@@ -130,7 +140,9 @@ def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields:
     pair = "CAST({0} AS array<struct<key:string,value:string>>)"
     listed = f"transform(transform(try_cast(e.value AS array<variant>), x -> {open_x}), (y, i) -> named_struct('key', concat(e.key, '[', i, ']'), 'value', {leaf}))"
     inside = f"transform(map_entries(try_cast(e.value AS map<string, variant>)), d -> named_struct('key', concat(e.key, '.', d.key), 'value', CASE WHEN {kind_o.format('d.value')} OR {kind_a.format('d.value')} THEN NULL ELSE try_cast(d.value AS string) END))"
+    own = ", ".join(f"'{n}'" for n in OWN)
     members = f"""flatten(transform(map_entries(transform_values(n.o, (k, x) -> {open_x})), e -> CASE
+        WHEN n.path = '' AND NOT e.key IN ({own}) AND ({kind_o.format("e.value")} OR {kind_a.format("e.value")}) THEN {pair.format("array(named_struct('key', e.key, 'value', to_json(e.value)))")}
         WHEN {kind_o.format("e.value")} THEN CASE WHEN e.key = '{NAME}' THEN filter({pair.format(inside)}, p -> NOT map_contains_key(n.o, p.key)) ELSE {pair.format("array()")} END
         WHEN {kind_a.format("e.value")} THEN filter({pair.format(listed)}, p -> NOT map_contains_key(n.o, p.key))
         ELSE {pair.format("array(named_struct('key', e.key, 'value', try_cast(e.value AS string)))")} END))"""
@@ -148,10 +160,11 @@ def json_objects_of(df: DataFrame, key: str, payload: str, source: str, fields:
     return parsed.select(F.lit(source).alias("source_table"), "rec_id", F.inline(F.expr(walked)))
 
 
-# The members of the record types that hold parties, and the marks of items and of totals in a path.
-PARTIES = ["seller", "buyer", "party_one", "party_two", "sender", "recipient"]
+# The marks of items and of totals in a path, and the columns of documents and of parties.
 ITEM = r"^items($|[.\[])"
 TOTAL = r"^finances(\.totals|\.breakdown\[\d+\])?$"
+DOCUMENT = ["doc_type", "doc_number", "doc_date", "file_path", "file_name", "status", "city", "contract_base", "contract_type", "claim_subject", "term_start", "term_end", "contract_basis_number", "contract_basis_date", "bank_requisites", "response_deadline_days", "has_signature_stamp"]
+PARTY = ["name", "inn", "kpp", "ogrn", "address", "signatory_fio", "signatory_basis"]
 
 
 def _field(*names: str) -> Column:
@@ -166,22 +179,22 @@ def amount(text: Column) -> Column:
 
 
 def documents_table(nodes: DataFrame) -> DataFrame:
-    """One row for each document: the roots."""
-    return nodes.where(F.col("node_path") == ROOT).select("source_table", "rec_id", "node_path", _field("doc_type").alias("doc_type"), _field("doc_number").alias("doc_number"), _field("doc_date").alias("doc_date"), _field("file_path").alias("file_path"))
+    """One row for each document: the roots. ``fields`` has all that they hold besides parties and items, objects and lists as JSON."""
+    return nodes.where(F.col("node_path") == ROOT).select("source_table", "rec_id", "node_path", *[_field(n).alias(n) for n in DOCUMENT], "fields")
 
 
 def parties_table(nodes: DataFrame) -> DataFrame:
-    """One row for each party, also where a mere name stands in the object's place.
+    """One row for each party, also where a mere name stands in the object's place, and for each object within a party.
 
-    Details kept one object deeper (``requisites``) have their own row, whose parent is the party's.
+    Details kept deeper (``requisites``, ``bank``, accounts, shares) have their own rows, with their parents. ``role`` is
+    the member that holds the party, ``stated_role`` the role that a contract gives it; ``fields`` has all scalars.
     """
-    of = F.regexp_extract("node_path", rf"^({'|'.join(PARTIES)})(\[\d+\])*(\.requisites)?$", 1)
-    cells = [_field(n).alias(n) for n in ("name", "inn", "kpp", "ogrn", "address")]
-    own = nodes.where(of != "").select("source_table", "rec_id", "node_path", "parent_path", of.alias("role"), *cells)
-    named = [F.when(F.col("fields")[p].isNotNull(), F.struct(F.lit(p).alias("role"), F.col("fields")[p].alias("name"))) for p in PARTIES]
-    bare = nodes.where(F.col("node_path") == ROOT).select("source_table", "rec_id", F.inline(F.filter(F.array(*named), lambda x: x.isNotNull())))
-    empty = [F.lit(None).cast("string").alias(n) for n in ("inn", "kpp", "ogrn", "address")]
-    return own.unionByName(bare.select("source_table", "rec_id", F.col("role").alias("node_path"), F.lit(ROOT).alias("parent_path"), "role", "name", *empty))
+    of = F.regexp_extract("node_path", rf"^({'|'.join(PARTIES)})($|[.\[])", 1)
+    cells = [_field(n, f"{n}.ru").alias(n) if n == NAME else _field(n).alias(n) for n in PARTY]
+    own = nodes.where(of != "").select("source_table", "rec_id", "node_path", "parent_path", of.alias("role"), *cells, _field("role").alias("stated_role"), "fields")
+    named = F.filter(F.map_entries("fields"), lambda e: e["key"].rlike(rf"^({'|'.join(PARTIES)})(\[\d+\])*$") & e["value"].isNotNull())
+    bare = nodes.where(F.col("node_path") == ROOT).select("source_table", "rec_id", F.inline(named).alias("node_path", NAME))
+    return own.unionByName(bare.withColumns({"parent_path": F.lit(ROOT), "role": F.regexp_extract("node_path", r"^\w+", 0), "fields": F.create_map().cast("map<string,string>")}), allowMissingColumns=True)
 
 
 def items_table(nodes: DataFrame) -> DataFrame:
@@ -194,6 +207,6 @@ def items_table(nodes: DataFrame) -> DataFrame:
 
 
 def totals_table(nodes: DataFrame) -> DataFrame:
-    """One row for each object of amounts, long: its name and the amount."""
-    long = nodes.where(F.col("node_path").rlike(TOTAL)).select("source_table", "rec_id", "node_path", "parent_path", _field("currency").alias("currency"), F.explode("fields").alias("measure", "text"))
-    return long.where(F.col("measure").rlike("(_rub|_no_vat|^sum)$|^total")).select("source_table", "rec_id", "node_path", "parent_path", "currency", "measure", amount(F.col("text")).alias("amount"))
+    """One row for each amount of an object of amounts: its name and the amount; ``fields`` has all scalars of the object."""
+    long = nodes.where(F.col("node_path").rlike(TOTAL)).select("source_table", "rec_id", "node_path", "parent_path", _field("currency").alias("currency"), "fields", F.explode("fields").alias("measure", "text"))
+    return long.where(F.col("measure").rlike("(_rub|_no_vat|^sum)$|^total")).select("source_table", "rec_id", "node_path", "parent_path", "currency", "measure", amount(F.col("text")).alias("amount"), "fields")

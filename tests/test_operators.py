@@ -80,6 +80,33 @@ def test_items_keep_names_and_details_that_are_objects(spark):
     assert got == {"items[0]": ("Труба", {"name.ru": "Труба", "name.code": "5", "marks[0]": "A1"}), "items[0].name": (None, {"ru": "Труба", "code": "5"})}
 
 
+def test_documents_and_parties_keep_all_they_hold(spark):
+    buyer = [{"name": "А", "role": "Покупатель", "signatory_fio": "Иванов И.И.", "share": {"num": 1, "den": 2}}, "ООО «Б»"]
+    seller = {"requisites": {"signatory_basis": "Устав", "bank": {"title": "банк", "accounts": [{"no": "5"}]}}}
+    payload = {"city": "К", "term_end": "04.03.2016", "response_deadline_days": 10, "other": "x", "buyer": buyer, "seller": json.dumps(seller), "meta": {"tags": ["x"], "ocr": [{"no": 1}]}, "finances": {"breakdown": [{"kind": "долг", "sum": 5}]}}
+    nodes = nested.json_objects_of(spark.createDataFrame([(7, json.dumps(payload, ensure_ascii=False))], "id long, p string"), "id", "p", "raw", True)
+    (document,) = nested.documents_table(nodes).collect()
+    assert (document["city"], document["term_end"], document["response_deadline_days"], document["contract_base"]) == ("К", "04.03.2016", "10", None)
+    rest = {"other": "x", "buyer[1]": "ООО «Б»", "meta": '{"ocr":[{"no":1}],"tags":["x"]}', "finances": '{"breakdown":[{"kind":"долг","sum":5}]}'}
+    assert {k: v for k, v in document["fields"].items() if k not in ("city", "term_end", "response_deadline_days")} == rest
+    parties = nested.parties_table(nodes).collect()
+    got = {r["node_path"]: (r["parent_path"], r["role"], r["stated_role"], r["name"], r["signatory_fio"], r["signatory_basis"], r["fields"]) for r in parties}
+    assert len(parties) == len(got) and got == {
+        "buyer[0]": ("$", "buyer", "Покупатель", "А", "Иванов И.И.", None, {"name": "А", "role": "Покупатель", "signatory_fio": "Иванов И.И."}),
+        "buyer[0].share": ("buyer[0]", "buyer", None, None, None, None, {"num": "1", "den": "2"}),
+        "buyer[1]": ("$", "buyer", None, "ООО «Б»", None, None, {}),
+        "seller": ("$", "seller", None, None, None, None, {}),
+        "seller.requisites": ("seller", "seller", None, None, None, "Устав", {"signatory_basis": "Устав"}),
+        "seller.requisites.bank": ("seller.requisites", "seller", None, None, None, None, {"title": "банк"}),
+        "seller.requisites.bank.accounts[0]": ("seller.requisites.bank", "seller", None, None, None, None, {"no": "5"}),
+    }
+    assert [(r["measure"], r["amount"], r["fields"]["kind"]) for r in nested.totals_table(nodes).collect()] == [("sum", 5.0, "долг")]
+    typed = spark.createDataFrame([(1, "К", ("А", "Поставщик"), (5.0, True))], "id long, city string, party_one struct<name:string,role:string>, finances struct<total_rub:double,vat_included:boolean>")
+    nodes = nested.objects_of(typed, "id", "t", True)
+    assert [(r["city"], r["fields"]["finances"]) for r in nested.documents_table(nodes).collect()] == [("К", '{"total_rub":5.0,"vat_included":true}')]
+    assert [(r["node_path"], r["role"], r["stated_role"]) for r in nested.parties_table(nodes).collect()] == [("party_one", "party_one", "Поставщик")]
+
+
 # -- scoring and audit
 
 
