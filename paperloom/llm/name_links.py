@@ -1,7 +1,8 @@
 """Spellings of one person, organisation, authority or court, linked (problem 3).
 
 Trie join. The cores of all names (surnames, firms, places) are put into tries, one for each shard: shards are the
-first and the last letters of a core, so that one slip leaves at least one of them whole. A core walks down the tries
+first letters of a core (eight, four in short cores) less as many of them as slips are allowed, in all ways: cores
+within that many slips share a part of their letters in order, so they meet in a shard. A core walks down the tries
 of its shards with a Levenshtein automaton, which enumerates its neighbours of at most two slips (one in short
 cores). Orders of the words, glued initials and inflections are resolved before, by the parser in ``names``.
 
@@ -16,17 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import names
 from paperloom.session import durable
 
-#: Letters of the shards, least length of a core for one and for two slips, and ways of writing that make a node stand.
-SHARD, ONE, TWO, STANDS = 3, 4, 8, 3
+#: Least length of a core for one and for two slips, and ways of writing that make a node stand.
+ONE, TWO, STANDS = 4, 8, 3
 #: Letters beyond which cores are compared letter for letter.
 LONG = 100
 #: Cores of one shard that go into one trie; a larger shard is cut into several.
@@ -100,18 +102,28 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["space", "core", "other", "slips"])
 
 
+def _parts(core: str, slips: int, whole: int) -> Column:
+    """The first ``whole`` letters less ``slips`` of them, in all ways; cores that so many slips tell apart share one."""
+    out = []
+    for places in combinations(range(1, whole + 1), whole - slips):
+        kept = F.concat(F.lit(str(slips)), *[F.substring(core, i, 1) for i in places])
+        out.append(F.when(F.length(core) >= places[-1], kept))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
 def neighbours(cores: DataFrame) -> DataFrame:
     """(space, core, other): pairs of distinct cores of one space that few slips tell apart, in both directions."""
     cores = durable(cores)
-    keys = F.array_distinct(F.array(*[F.concat(F.lit(f"{s}{k}"), F.substring("core", 1, k) if s == "<" else F.expr(f"right(core, {k})")) for s in "<>" for k in (SHARD, 2)]))
-    short = F.filter(keys, lambda x: F.when(F.length("core") < 6, F.length(x) == 4).when(F.length("core") < 8, F.lit(True)).otherwise(F.length(x) == 2 + SHARD))
-    routed = cores.where(F.length("core").between(ONE, LONG)).select("space", "core", F.explode(short).alias("route"))
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(TRIE))
-    sized = routed.groupBy("space", "route").agg(parts.alias("parts"))
+    n = F.length("core")
+    keys = F.concat(*[F.when(n.between(least, most), _parts("core", slips, whole)).otherwise(F.array().cast("array<string>")) for slips, whole, least, most in ((1, ONE, ONE, TWO), (2, TWO, TWO - 2, LONG))])
+    routed = cores.where(n.between(ONE, LONG)).select("space", "core", F.explode(F.array_distinct(keys)).alias("route"))
+    count = F.count(F.lit(1))
+    sized = routed.groupBy("space", "route").agg(F.ceil(count / F.lit(TRIE)).alias("parts"), count.alias("n")).where("n > 1").drop("n")
     entry = routed.join(sized, ["space", "route"])
     part = F.pmod(F.xxhash64("core"), F.col("parts"))
     entries = entry.select("space", "core", "route", part.alias("part"), F.lit(False).alias("query"))
-    queries = entry.select("space", "core", "route", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"))
+    asked = entry.where(F.substring("route", 1, 1) == F.when(n < TWO, "1").otherwise("2"))
+    queries = asked.select("space", "core", "route", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"))
     both = entries.unionByName(queries).select(F.concat_ws("\x01", "space", "route", "part").alias("shard"), "query", "core")
     parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't merged into one task
     placed = both.repartition(parts, "shard").sortWithinPartitions("shard", "query")

@@ -70,6 +70,23 @@ def test_trie_join_against_all_pairs(spark, monkeypatch):
     assert name_links.neighbours(df.limit(0)).count() == 0
 
 
+def test_trie_join_misses_no_pair(spark):
+    rng = random.Random(11)
+    words = {"абвг", "авбг", "абвгдежз", "бавгдезж", "абхгдехз"}
+    for _ in range(60):
+        word = "".join(rng.choice("абвгдежз") for _ in range(rng.randint(4, 14)))
+        words.add(word)
+        for _ in range(5):
+            w = word
+            for _ in range(2):
+                i, kind = rng.randrange(len(w)), rng.randrange(4)
+                w = w[:i] + ("х" + w[i + 1 :], w[i + 1 :], "х" + w[i:], w[i + 1 : i + 2] + w[i] + w[i + 2 :])[kind]
+            words.add(w)
+    words = sorted(w for w in words if len(w) >= name_links.ONE)
+    got = {(r["core"], r["other"]) for r in name_links.neighbours(spark.createDataFrame([("s", w) for w in words], "space string, core string")).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and osa(a, b, 2) <= name_links.slips(a)}
+
+
 def linked(spark, rows, kinds="pot"):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "entity int, name string")
     out = name_links.entities(name_links.spellings({"f": (df, "name", kinds)}))
