@@ -1,11 +1,15 @@
 """Addresses that denote one building (problem 5).
 
 Top-down hierarchy matching. Regions are settled first, then localities within their region, then streets within
-their locality, then houses: a name with slips goes to the neighbour of the same parent that is written in clearly
-more ways (or, if it is written in a single way itself, more often). An address that lacks a level inherits the candidates of the levels it has: a locality without a region
-may lie in any region that has it, a street without a locality in any of the region. Its candidates are the known
-buildings with its house on such a street. Where several are left, the postal code's first digits decide, then the
-building written in more ways; ``candidates`` tells how many there were.
+their locality: spellings of one parent that slips of typing tell apart are one name, whichever is written in more
+ways. An address that has all levels is its building.
+
+An address that lacks a level inherits candidates. A locality without a region may lie in any region that has it, or
+else one within two slips of it; a street without a locality is looked up in its region, or in all. A known
+building answers to the patterns that its levels can be cut down to; a pattern knows its only building or how many it
+has. The fewest slips win; if several buildings are left, the postal code's first digits may single one out. What is
+still ambiguous stays so: the address is linked with none, keeps the number of its candidates, and its ``candidate_set`` names
+the pattern under which :func:`candidates_of` lists them. No address meets all buildings of its street and house.
 
 Nulls, blanks and values without a house denote no building. Values that no building fits stand for themselves.
 Repeated rows count once. No column besides the address is read.
@@ -15,19 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import names, postal
-from paperloom.llm.name_links import neighbours
+from paperloom.llm.name_links import _spread, neighbours, roots
 from paperloom.session import durable
 
 LEVELS = ("code", "region", "town", "sort", "gender", "street", "house")
-#: How many times more ways of writing the neighbour has that a mistyped name goes to.
-CLEARLY = 2
+#: What a slip takes from the confidence of a link.
+TRUST = 0.9
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in LEVELS]))
@@ -48,58 +53,126 @@ def _slips(noisy: pd.Series, clean: pd.Series) -> pd.Series:
 def addresses(frames: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Distinct addresses of (frame, column) with their levels."""
     distinct = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("address")) for df, c in frames]).where(F.col("address").rlike(r"\d")).groupBy("address").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.withColumn("_a", _read("address")).where(F.col("_a.house").isNotNull()).select("address", "n", "_a.*")
-
+    return _spread(distinct, "address").withColumn("_a", _read("address")).where(F.col("_a.house").isNotNull()).select("address", "n", "_a.*")
+
+
+class Names(NamedTuple):
+    """Names of one level: what each stands for, and which are near those that were asked for."""
+
+    settled: DataFrame  # space, core, to
+    near: DataFrame  # space, core, other, slips
+
+
+def name_level(known: DataFrame, loose: DataFrame) -> Names:
+    """Names of ``known`` (space, core, address, n) settled among themselves, and those near ``loose`` (space, core).
+
+    ``known`` may hold spaces that are only looked up, told by a null address.
+    """
+    vocabulary = durable(known.groupBy("space", "core").agg(F.countDistinct("address").alias("ways"), F.sum("n").alias("n")))
+    own = vocabulary.where("ways > 0")
+    found = neighbours(vocabulary.select("space", "core"), own.select("space", "core").unionByName(loose.select("space", "core")))
+    near = durable(found.withColumn("slips", _slips("core", "other")).where("slips <= 2"))
+    up = own.select("space", F.col("core").alias("other"), F.struct("ways", "n", F.col("core").alias("name")).alias("_up"))
+    mine = own.select("space", "core", F.struct("ways", "n", F.col("core").alias("name")).alias("_own"))
+    better = near.join(mine, ["space", "core"]).join(up, ["space", "other"]).where(F.col("_up") > F.col("_own"))
+    best = better.groupBy("space", "core").agg(F.min(F.struct("slips", -F.col("_up.ways"), "other"))["other"].alias("_to"))
+    at = lambda name: F.concat_ws("\x01", "space", name)
+    parent = durable(own.join(best, ["space", "core"], "left").select(at("core").alias("node"), at(F.coalesce("_to", "core")).alias("up")))
+    node, root = F.split("node", "\x01"), F.split("up", "\x01")
+    return Names(roots(parent).select(node[0].alias("space"), node[1].alias("core"), root[1].alias("to")), near)
+
+
+def _settled(rows: DataFrame, space: Column, level: str, named: Names) -> DataFrame:
+    joined = rows.withColumn("space", space).withColumnRenamed(level, "core").join(named.settled, ["space", "core"], "left")
+    return joined.withColumn(level, F.coalesce("to", "core")).drop("space", "core", "to")
+
+
+def _has(*levels: str) -> Column:
+    return reduce(Column.__and__, [F.col(c) != "" for c in levels])
+
+
+def _pattern(*levels: Column | str) -> Column:
+    return F.sha2(F.concat_ws("\x01", *levels), 256)
+
+
+class Matched(NamedTuple):
+    linked: DataFrame
+    patterns: DataFrame
+
+
+def matched(read: DataFrame) -> Matched:
+    """:func:`addresses`' rows with their buildings, and the patterns (candidate_set, building) of known buildings."""
+    lit, none = F.lit, F.lit(None).cast("string")
+    rows = durable(read)
+    # regions
+    regions = name_level(rows.where(_has("region")).select(lit("r").alias("space"), F.col("region").alias("core"), "address", "n"), rows.limit(0).select(lit("r").alias("space"), F.col("region").alias("core")))
+    rows = durable(_settled(rows, lit("r"), "region", regions))
+    # localities: within their region, and those without one in any
+    in_region = F.concat(lit("t|"), F.col("region"))
+    placed, lone = rows.where(_has("region", "town")), rows.where(_has("town") & ~_has("region")).select(lit("t").alias("space"), F.col("town").alias("core")).distinct()
+    own = placed.select(in_region.alias("space"), F.col("town").alias("core"), "address", "n")
+    towns = name_level(own.unionByName(own.select(lit("t").alias("space"), "core", none.alias("address"), "n")), lone)
+    ways = towns.near.where("space = 't'").select(F.col("core").alias("asked"), F.col("other").alias("core"), "slips").unionByName(lone.select(F.col("core").alias("asked"), "core", lit(0).alias("slips")))
+    where = ways.join(towns.settled, "core").groupBy("asked", F.substring("space", 3, 1 << 30).alias("in_region"), F.col("to").alias("in_town")).agg(F.min("slips").alias("town_slips"))
+    least = where.groupBy("asked").agg(F.min("town_slips").alias("town_slips"))
+    inherited = where.join(least, ["asked", "town_slips"])
+    own_place = _settled(placed, in_region, "town", towns).withColumn("town_slips", lit(0)).withColumn("whole", _has("sort", "street"))
+    lent = rows.where(_has("town") & ~_has("region")).join(inherited, F.col("town") == F.col("asked")).withColumn("region", F.col("in_region")).withColumn("town", F.col("in_town")).withColumn("whole", lit(False))
+    townless = durable(rows.where(~_has("town") & _has("street")))
+    full = durable(own_place.unionByName(lent.select(own_place.columns)))
+    # streets: within their locality; those without one in their region, or in any
+    in_town = F.concat(lit("s|"), F.col("region"), lit("|"), F.col("town"))
+    abroad = F.concat(lit("s|"), F.col("region"))
+    named = full.where(_has("street")).select(in_town.alias("space"), F.col("street").alias("core"), "address", "n")
+    far = [full.where("whole").select(space.alias("space"), F.col("street").alias("core"), none.alias("address"), "n") for space in (abroad, lit("s|"))]
+    asked = townless.select(abroad.alias("space"), F.col("street").alias("core"))
+    streets = name_level(named.unionByName(far[0]).unionByName(far[1]), asked.distinct())
+    full = durable(_settled(full.withColumn("raw", F.col("street")), in_town, "street", streets))
+    # known buildings and the patterns that they answer to
+    level = ["region", "town", "sort", "street", "house"]
+    whole = full.where("whole").withColumn("building", _pattern(*level))
+    three = F.substring("code", 1, 3)
+    kinds = F.array(F.concat(lit("s"), F.col("sort")), F.concat(lit("g"), F.col("gender")), lit("*"))
+    places = F.array(F.struct(F.col("region").alias("r"), F.col("town").alias("t")), F.struct(F.col("region").alias("r"), lit("*").alias("t")), F.struct(lit("*").alias("r"), lit("*").alias("t")))
+    answers = whole.select("building", F.explode(F.array_distinct(F.array("street", "raw"))).alias("street"), "house", "gender", "sort", "region", "town", F.when(three != "", three).alias("three")).distinct()
+    answers = answers.withColumn("kind", F.explode(kinds)).withColumn("place", F.explode(places)).select(_pattern("place.r", "place.t", "kind", "street", "house").alias("pattern"), "three", "building")
+    patterns = durable(answers.distinct())
+    count = [F.countDistinct("building").alias("many"), F.min("building").alias("only")]
+    plain, coded = patterns.groupBy("pattern").agg(*count), patterns.where("three IS NOT NULL").groupBy("pattern", "three").agg(*[c.alias(f"{n}3") for c, n in zip(count, ("many", "only"), strict=True)])
+    # what the others ask for
+    kind = F.when(_has("sort"), F.concat(lit("s"), F.col("sort"))).otherwise(F.when(_has("gender"), F.concat(lit("g"), F.col("gender"))).otherwise(lit("*")))
+    partly = full.where("NOT whole").select("address", three.alias("three"), _pattern("region", "town", kind, "street", "house").alias("pattern"), F.col("town_slips").alias("slips"))
+    roads = streets.near.select(F.col("space").alias("_space"), F.col("core").alias("_street"), "other", "slips").unionByName(asked.distinct().select(F.col("space").alias("_space"), F.col("core").alias("_street"), F.col("core").alias("other"), lit(0).alias("slips")))
+    far_off = townless.join(roads, (abroad == F.col("_space")) & (F.col("street") == F.col("_street"))).select("address", three.alias("three"), _pattern(F.when(_has("region"), F.col("region")).otherwise(lit("*")), lit("*"), kind, "other", "house").alias("pattern"), "slips")
+    found = partly.unionByName(far_off).join(plain, "pattern").join(coded, ["pattern", "three"], "left")
+    nearest = found.join(found.groupBy("address").agg(F.min("slips").alias("slips")), ["address", "slips"])
+    one = F.when(F.col("many") == 1, F.col("only"))
+    summed = nearest.groupBy("address", "slips").agg(
+        F.countDistinct("only").alias("_only"), F.max("many").alias("_most"), F.sum("many").alias("_sum"), F.min(one).alias("_one"), F.min("pattern").alias("candidate_set"), F.countDistinct("only3").alias("_only3"), F.max("many3").alias("_most3"), F.min("only3").alias("_one3")
+    )
+    single, by_code = (F.col("_only") == 1) & (F.col("_most") == 1), (F.col("_only3") == 1) & (F.col("_most3") == 1)
+    settled_one = F.when(single, F.col("_one")).when(by_code, F.col("_one3"))
+    candidates = F.when(single, lit(1)).otherwise(F.greatest(F.col("_only"), F.when(F.col("_only") == 1, F.col("_most")).otherwise(F.col("_sum"))))
+    trust = F.pow(lit(TRUST), F.col("slips")) / F.when(single, lit(1.0)).when(by_code, lit(1 / TRUST)).otherwise(candidates)
+    loose = summed.select("address", F.coalesce(settled_one, _pattern(lit("address"), "address")).alias("building"), candidates.cast("bigint").alias("candidates"), trust.alias("confidence"), F.when(settled_one.isNull(), F.col("candidate_set")).alias("candidate_set"))
+    done = whole.select("address", "building", lit(1).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), none.alias("candidate_set"))
+    known = durable(done.unionByName(loose))
+    left = rows.join(known, "address", "left_anti").select("address", _pattern(lit("levels"), "region", "town", "sort", "gender", "street", "house").alias("building"), lit(0).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), none.alias("candidate_set"))
+    return Matched(known.unionByName(left), patterns)
 
-def settled(rows: DataFrame, parents: list[str], level: str) -> DataFrame:
-    """``rows`` with mistyped names of ``level`` replaced by their neighbour under the same parents."""
-    space = F.concat_ws("|", *parents) if parents else F.lit("")
-    vocabulary = durable(rows.where(F.col(level) != "").groupBy(space.alias("space"), F.col(level).alias("core")).agg(F.countDistinct("address").alias("ways"), F.sum("n").alias("n")))
-    near = neighbours(vocabulary.select("space", "core"))
-    up = vocabulary.select("space", F.col("core").alias("other"), F.col("ways").alias("_ways"), F.col("n").alias("_n"))
-    better = near.join(vocabulary, ["space", "core"]).join(up, ["space", "other"]).where((F.col("_ways") >= F.col("ways") * CLEARLY) | (F.col("ways") == 1) & (F.struct("_ways", "_n", "other") > F.struct("ways", "n", "core")))
-    priced = better.withColumn("cost", _slips("core", "other")).where("cost <= 2")
-    best = priced.groupBy("space", "core").agg(F.min(F.struct("cost", -F.col("_ways"), "other")).alias("b")).select("space", "core", F.col("b.other").alias("_to"))
-    joined = rows.withColumn("space", space).withColumnRenamed(level, "core").join(best, ["space", "core"], "left")
-    return joined.withColumn(level, F.coalesce("_to", "core")).drop("space", "core", "_to")
 
+def buildings(read: DataFrame) -> DataFrame:
+    """(address, building, candidates, confidence, candidate_set) of :func:`addresses`' rows.
 
-def _fits(mine: str, other: str) -> Column:
-    return (F.col(mine) == "") | (F.col(mine) == F.col(other))
+    An ambiguous address is a building of its own, with the number of its candidates and their set.
+    """
+    return matched(read).linked
 
 
-def buildings(read: DataFrame) -> DataFrame:
-    """(address, building, candidates) of :func:`addresses`' rows."""
-    rows = settled(durable(read), [], "region")
-    whole = durable(settled(rows.where("region <> ''"), ["region"], "town").unionByName(rows.where("region = ''")))
-    towns = durable(whole.where("region <> '' AND town <> ''").groupBy("region", "town").agg(F.countDistinct("address").alias("town_ways")))
-    # localities without a region: the same name, or else a neighbour of it, in any region
-    lone = whole.where("region = '' AND town <> ''").select("town").distinct()
-    near = neighbours(lone.select(F.lit("").alias("space"), F.col("town").alias("core")).unionByName(towns.select(F.lit("").alias("space"), F.col("town").alias("core"))).distinct())
-    ways = near.select(F.col("core").alias("town"), F.col("other").alias("to"), _slips("core", "other").alias("slips")).where("slips <= 2").unionByName(lone.select("town", F.col("town").alias("to"), F.lit(0).alias("slips")))
-    placed = lone.join(ways, "town").join(towns.select(F.col("region").alias("in_region"), F.col("town").alias("to")), "to").select(F.col("town").alias("asked_town"), "in_region", F.col("to").alias("in_town"), F.col("slips").alias("town_slips"))
-    # streets within their locality
-    named = whole.where("region <> '' AND town <> '' AND sort <> '' AND street <> ''")
-    fixed = durable(settled(named, ["region", "town", "sort"], "street"))
-    level = ["region", "town", "sort", "street", "house"]
-    built = fixed.groupBy(*level).agg(F.countDistinct("address").alias("ways"), F.first("gender").alias("gender"), F.collect_set(F.substring("code", 1, 3)).alias("codes"))
-    known = durable(built.withColumn("building", F.sha2(F.concat_ws("|", *level), 256)))
-    done = fixed.join(known.select(*level, "building"), level).select("address", "building", F.lit(1).alias("candidates"))
-    # addresses that lack a level inherit candidates
-    loose = whole.where("NOT (region <> '' AND town <> '' AND sort <> '' AND street <> '')")
-    asked = loose.join(placed, (F.col("town") == F.col("asked_town")) & (F.col("region") == ""), "left")
-    asked = durable(asked.select("address", "code", F.coalesce("in_region", "region").alias("region"), F.coalesce("in_town", "town").alias("town"), F.coalesce("town_slips", F.lit(0)).alias("town_slips"), "sort", "gender", "street", "house"))
-    streets = durable(asked.select(F.col("street").alias("core")).union(known.select("street")).where("core <> ''").distinct())
-    near = neighbours(streets.select(F.lit("").alias("space"), "core"))
-    roads = near.select(F.col("core").alias("street"), F.col("other").alias("to"), _slips("core", "other").alias("slips")).where("slips <= 2").unionByName(streets.select(F.col("core").alias("street"), F.col("core").alias("to"), F.lit(0).alias("slips")))
-    target = known.select(F.col("street").alias("to"), "house", *[F.col(c).alias(f"_{c}") for c in ("region", "town", "sort", "gender")], "ways", "codes", "building")
-    fit = _fits("region", "_region") & _fits("town", "_town") & F.when(F.col("sort") != "", F.col("sort") == F.col("_sort")).otherwise(_fits("gender", "_gender"))
-    found = asked.join(roads, "street").join(target, ["to", "house"]).where(fit)
-    coded = F.array_contains("codes", F.substring("code", 1, 3)).cast("int")
-    rank = Window.partitionBy("address").orderBy(F.col("town_slips") + F.col("slips"), coded.desc(), F.col("ways").desc(), "building")
-    best = found.withColumn("_r", F.row_number().over(rank)).withColumn("candidates", F.size(F.collect_set("building").over(Window.partitionBy("address")))).where("_r = 1").select("address", "building", "candidates")
-    alone = loose.join(best, "address", "left_anti").select("address", F.sha2(F.concat_ws("|", "region", "town", "sort", "gender", "street", "house"), 256).alias("building"), F.lit(0).alias("candidates"))
-    return done.unionByName(best).unionByName(alone)
+def candidates_of(found: Matched) -> DataFrame:
+    """(candidate_set, building): the candidates of the sets that ambiguous addresses name."""
+    sets = found.linked.where("candidate_set IS NOT NULL").select(F.col("candidate_set").alias("pattern")).distinct()
+    return found.patterns.join(sets, "pattern").select(F.col("pattern").alias("candidate_set"), "building").distinct()
 
 
 def pairs_of(linked: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ import re
 import unicodedata as ud
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import permutations
 
 from paperloom.llm import people
-from paperloom.llm.edit import near_keys, osa
+from paperloom.llm.edit import deletes, near_keys, osa
 from paperloom.llm.glyphs import unify
 
 _CYRILLIC = str.maketrans("ёэйъь", "ееы\x00\x00")
@@ -41,30 +42,37 @@ def folded_near() -> frozenset[tuple[str, str]]:
 
 @lru_cache(200_000)
 def typo_cost(noisy: str, clean: str) -> int:
-    """Slips that make ``clean`` into ``noisy``: a swap, a lost or doubled letter, a neighbouring key; 9 where others are needed."""
+    """Slips that make ``clean`` into ``noisy``: a swap, a lost or doubled letter, a neighbouring key; 9 where others are needed.
+
+    Only the band of two letters beside the diagonal is looked at, so long words cost in proportion to their length.
+    """
     if noisy == clean:
         return 0
-    if abs(len(noisy) - len(clean)) > 2:
+    n, m = len(clean), len(noisy)
+    if abs(m - n) > 2:
         return 9
     near = folded_near()
-    before: list[int] = []
-    last = list(range(len(noisy) + 1))
-    for j in range(1, len(noisy) + 1):
-        last[j] = last[j - 1] + 9
-    for i, x in enumerate(clean):
-        now = [last[0] + 1]
-        for j, y in enumerate(noisy):
-            if x == y:
-                best = last[j]
-            else:
-                best = last[j] + (1 if (x, y) in near else 9)
-                if i and j and x == noisy[j - 1] and y == clean[i - 1]:
-                    best = min(best, before[j - 1] + 1)
-            doubled = j and noisy[j - 1] == y
-            best = min(best, last[j + 1] + 1, now[j] + (1 if doubled or (i == len(clean) - 1 and j == len(noisy) - 1 and y in "ск") else 9))
-            now.append(best)
+    before: dict[int, int] = {}
+    last = {j: 9 * j for j in range(min(m, 2) + 1)}
+    for i in range(1, n + 1):
+        x, now = clean[i - 1], {}
+        for j in range(max(0, i - 2), min(m, i + 2) + 1):
+            best = last.get(j, 9) + 1  # a lost letter
+            if j:
+                y = noisy[j - 1]
+                if x == y:
+                    best = min(best, last.get(j - 1, 9))
+                else:
+                    best = min(best, last.get(j - 1, 9) + (1 if (x, y) in near else 9))
+                    if i > 1 and j > 1 and x == noisy[j - 2] and y == clean[i - 2]:
+                        best = min(best, before.get(j - 2, 9) + 1)
+                doubled = j > 1 and noisy[j - 2] == y
+                best = min(best, now.get(j - 1, 9) + (1 if doubled or (i == n and j == m and y in "ск") else 9))
+            now[j] = best
+        if min(now.values()) > 2 and min(last.values()) > 2:
+            return 9
         before, last = last, now
-    return min(last[-1], 9)
+    return min(last.get(m, 9), 9)
 
 
 @lru_cache(1)
@@ -112,31 +120,71 @@ def patronymics() -> dict[str, str]:
     return out
 
 
-def _nearest(word: str, known: dict, most: int) -> list:
-    if word in known:
-        return [known[word]]
-    if len(word) < 3:
-        return []
-    found: dict[int, list] = {}
-    for k in known:
-        if abs(len(k) - len(word)) <= most and (d := osa(word, k, most)) <= most:
-            found.setdefault(d, []).append(known[k])
-    return found[min(found)] if found else []
+class Known:
+    """Words with the slips of others told by symmetric deletes."""
+
+    def __init__(self, words: dict, most: int):
+        self.words, self.longest = words, max(map(len, words)) + most
+        self.left: dict[str, list[str]] = {}
+        for w in words:
+            for d in deletes(w, most):
+                self.left.setdefault(d, []).append(w)
+
+    def nearest(self, word: str, most: int) -> list:
+        """What the words say that are nearest to ``word``, ``most`` slips away at most."""
+        if word in self.words:
+            return [self.words[word]]
+        if not 3 <= len(word) <= self.longest:
+            return []
+        found: dict[int, set[str]] = {}
+        for k in {k for d in deletes(word, most) for k in self.left.get(d, ())}:
+            if (d := osa(word, k, most)) <= most:
+                found.setdefault(d, set()).add(k)
+        return [self.words[k] for k in sorted(found[min(found)])] if found else []
+
+
+@lru_cache(1)
+def _known_firsts() -> Known:
+    return Known(first_names(), 2)
+
+
+@lru_cache(1)
+def _known_patronymics() -> Known:
+    return Known(patronymics(), 2)
 
 
 @lru_cache(50_000)
 def first_of(word: str) -> frozenset[str]:
     """First names (+ for a genitive) that the folded word may be."""
-    found = _nearest(word, first_names(), 1 if len(word) < 8 else 2)
+    found = _known_firsts().nearest(word, 1 if len(word) < 8 else 2)
     return frozenset().union(*found) if found else frozenset()
 
 
 @lru_cache(50_000)
 def patronymic_of(word: str) -> str:
-    found = _nearest(word, patronymics(), 2)
+    found = _known_patronymics().nearest(word, 2)
     return found[0] if found else ""
 
 
+# Endings of folded patronymics, nominative and genitive.
+_PATRONYMIC = re.compile("(?:(?:ов|ев)ич|(?:ов|ев|ич)на|((?:ов|ев)ича|(?:ов|ев|ич)ны))$")
+
+
+def patronymic_like(word: str) -> str:
+    """The nominative (+ for a genitive) of a folded word that only its ending shows to be a patronymic."""
+    found = _PATRONYMIC.search(word)
+    if not found or len(word) < 6:
+        return ""
+    return word if not found[1] else (word[:-1] if word.endswith("ича") else word[:-1] + "а") + "+"
+
+
+def _nominative(first: str, woman: bool) -> str:
+    """The nominative of a folded first name in the genitive that no list has."""
+    if woman:
+        return first[:-1] + ("а" if first.endswith("ы") else "я") if first.endswith(("ы", "и")) else first
+    return first[:-1] + ("ы" if first.endswith("я") else "") if first.endswith(("а", "я")) else first
+
+
 @dataclass(frozen=True)
 class Name:
     kind: str
@@ -147,6 +195,8 @@ class Name:
     full: bool = False
 
 
+#: Starts a core whose words are in alphabetical order.
+SORTED = "\x02"
 _TOKEN = re.compile(r"[^\W\d_]+\.?|\d+")
 _GLUED = re.compile(r"(?<=[а-яёa-z])(?=[А-ЯЁA-Z]\.)")
 
@@ -182,8 +232,7 @@ def person(text: str) -> Name | None:
     cut = [w + "." for w, s in zip(words, short, strict=True) if s]
     first = patronymic = ""
     if len(words) == 3 and not cut:
-        as_sfp = 2 * bool(first_of(words[1])) + 2 * bool(patronymic_of(words[2])) + (words[1] in first_names())
-        as_fps = 2 * bool(first_of(words[0])) + 2 * bool(patronymic_of(words[1])) + (words[0] in first_names())
+        as_sfp, as_fps = (2 * bool(first_of(f)) + max(2 * bool(patronymic_of(p)), bool(patronymic_like(p))) + (f in first_names()) for f, p in (words[1:], words[:2]))
         if not as_sfp and not as_fps:
             return None
         surname, first, patronymic = words if as_sfp >= as_fps or comma else (words[2], words[0], words[1])
@@ -203,7 +252,7 @@ def person(text: str) -> Name | None:
         return None
     genitive: bool | None = None if first.endswith(".") else False
     if patronymic and not patronymic.endswith("."):
-        known = patronymic_of(patronymic) or patronymic
+        known = patronymic_of(patronymic) or patronymic_like(patronymic) or patronymic
         genitive, patronymic = known.endswith("+"), known.rstrip("+")
     if first and not first.endswith("."):
         names = first_of(first)
@@ -213,20 +262,27 @@ def person(text: str) -> Name | None:
             names = fit or {n for n in names if n.rstrip("+").endswith(("а", "я")) == woman} or names
         else:
             genitive = None if len({n.endswith("+") for n in names}) > 1 else bool(names) and next(iter(names)).endswith("+")
+        if not names and genitive:
+            first = _nominative(first, patronymic.endswith("на"))
         first = "|".join(sorted({n.rstrip("+") for n in names})) or first
     whole = bool(first and patronymic) and not (first.endswith(".") or patronymic.endswith(".") or "|" in first)
     return Name("p", "", tuple(surname_forms(surname, genitive)), first, patronymic, whole)
 
 
+@lru_cache(1)
+def _known_forms() -> Known:
+    return Known({w: (at, key) for at, (key, ways) in reversed(list(enumerate(people.FORM_WORDS.items()))) for w in ways.split()}, 2)
+
+
 @lru_cache(50_000)
 def _form_word(word: str) -> str:
-    for key, ways in people.FORM_WORDS.items():
-        if word in ways.split():
-            return key
-    for key, ways in people.FORM_WORDS.items():
-        if len(word) > 4 and any(osa(word, w, 2) <= (2 if len(w) > 7 else 1) for w in ways.split()):
-            return key
-    return ""
+    known = _known_forms()
+    if word in known.words:
+        return known.words[word][1]
+    if not 4 < len(word) <= known.longest:
+        return ""
+    near = {w for d in deletes(word, 2) for w in known.left.get(d, ()) if osa(word, w, 2) <= (2 if len(w) > 7 else 1)}
+    return min(known.words[w] for w in near)[1] if near else ""
 
 
 _SHORT_FORMS = {x: k for k, xs in people.FORMS.items() for x in xs.split()}
@@ -254,12 +310,25 @@ def organisation(text: str) -> Name:
             rest.append(folded)
     if words and not form:
         form = min(people.LONG_FORMS, key=lambda k: len(words ^ {w for w in people.LONG_FORMS[k].split() if w != "с"}))
-    core = "".join(rest)
-    if bank and not core.endswith("банк"):
-        core += "банк"
-    if rest and len(rest[-1]) == 3 and len(rest) > 1:
-        core = "".join(rest[:-1]) + next((s for s in _SECOND if s.startswith(rest[-1])), rest[-1])
-    return Name("o", "", (core,), form, "", bool(form))
+    if len(rest) > 1 and len(rest[-1]) == 3:
+        rest[-1] = next((s for s in _SECOND if s.startswith(rest[-1])), rest[-1])
+    tail = "банк" if bank and not "".join(rest).endswith("банк") else ""
+    return Name("o", "", tuple(x + tail for x in orders(rest)), form, "", bool(form))
+
+
+#: Words up to which all orders of an organisation's words are looked up.
+ORDERED = 4
+
+
+def orders(words: list[str]) -> list[str]:
+    """Ways in which the words may follow each other, as written first.
+
+    Up to ``ORDERED`` words in every order. More words also in alphabetical order, marked, as no order of others is alike.
+    """
+    written = "".join(words)
+    if len(words) > ORDERED:
+        return [written, SORTED + "".join(sorted(words))]
+    return list(dict.fromkeys([written, *map("".join, permutations(words))]))
 
 
 _REGION = re.compile(r"(?<![^\W\d_])([^\W\d_]+)\s+(область|области|обл|oblast|oblasti|obl|kr|края|край|краю|кр|krai|kray|kraya)\b\.?|(?:республик\w|респ|respublik\w|resp)\b\.?\s+([^\W\d_]+)")
@@ -268,7 +337,9 @@ _REGION = re.compile(r"(?<![^\W\d_])([^\W\d_]+)\s+(область|области
 # Endings of places' adjectives and names; those of the first pattern may be mistyped.
 _SURE = re.compile("(?:ского|ским|скому|ском|ской|ская|ский|ски[йи]|ское|skogo|skim|skomu|skom|skoy|skaya|skiy|skoe)$")
 _OTHER = re.compile("(?:ск|sk|[оеё]й|ая|ого|ому|aya|oy|ogo|omu)$")
-_MISTYPED = ("ская", "ский", "ское", "ского", "ским", "ской", "skaya", "skiy", "skogo")
+_MISTYPED = ("ская", "ский", "ское", "ского", "ским", "ской", "skaya", "skiy", "skoe", "skogo")
+# Fixed value: the first letter of an ending, swapped with the stem's last one.
+_SWAPPED = re.compile("(?:с([^\\W\\d_])к(?:ая|ий|ое|ого|им|ой|ом|ому)|s([^\\W\\d_])k(?:aya|iy|oe|ogo|im|oy|om|omu))$")
 
 
 def adjective_stem(word: str) -> str:
@@ -276,6 +347,8 @@ def adjective_stem(word: str) -> str:
     stem, n = _SURE.subn("", word)
     if n:
         return fold(stem)
+    if swapped := _SWAPPED.search(word):
+        return fold(word[: swapped.start()] + (swapped[1] or swapped[2]))
     slip = {b for a, b in near_keys() if a == "с"} | {"с", "s"}
     for more in (0, 1, -1):
         for end in _MISTYPED:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from paperloom.llm.edit import osa
+from paperloom.llm.edit import near_keys, osa
 from paperloom.llm.glyphs import unify
 from paperloom.llm.names import adjective_stem, fold, region_of
 
@@ -41,6 +41,10 @@ _PARTS = {
 }
 
 
+#: A town's word after the house: its letter isn't the house's.
+_TOWN_AFTER = r"[гg]\b\.?\s*[^\W\d_]{3}"
+
+
 @dataclass(frozen=True)
 class Address:
     code: str
@@ -52,15 +56,28 @@ class Address:
     house: str
 
 
+# Endings of streets' names by gender.
+_ENDINGS = {"f": ("ская", "skaya"), "m": ("ский", "skiy"), "n": ("ское", "skoe")}
+
+
 def _gender(word: str) -> str:
+    """The gender that a street's ending shows, also where one slip leaves only one in question."""
     if re.search("(?:ая|aya)[а-яa-z]?$", word):
         return "f"
-    return "n" if re.search("(?:ое|oe)$", word) else "m" if re.search("(?:[иоы]й|[iyo]y)$", word) else ""
+    if found := "n" if re.search("(?:ое|oe)$", word) else "m" if re.search("(?:[иоы]й|[iyo]y)$", word) else "":
+        return found
+    near = {g for g, ends in _ENDINGS.items() for e in ends for k in (-1, 0, 1) if len(word) > len(e) + k and osa(word[-len(e) - k :], e, 1) <= 1}
+    return near.pop() if len(near) == 1 else ""
+
+
+_BESIDE = {c: "".join(sorted(b for a, b in near_keys() if a == c)) for c in "ск"}
+#: A locality's -ск: as it is, with a letter doubled, swapped, or one key beside.
+_SK = re.compile(f"(?:с?скк?|кс|[{_BESIDE['с']}]к|с[{_BESIDE['к']}]|s?skk?|ks)$")
 
 
 def town_stem(word: str) -> str:
     """The folded name of a locality without its last -ск, also where that is mistyped."""
-    return fold(re.sub("с([^аеёиоуыэюя])к$", r"\1", re.sub("(?:с?скк?|[чмвы]к|s?skk?)$", "", word)))
+    return fold(re.sub("с([^аеёиоуыэюя])к$", r"\1", _SK.sub("", word)))
 
 
 def read(value: str | None) -> Address | None:
@@ -68,6 +85,7 @@ def read(value: str | None) -> Address | None:
     low = re.sub(r"\s+", " ", unify(value, "name") or "").strip().lower()
     if not low:
         return None
+    low = re.sub(r"(?<![\w-])(?:п|пер)-к(?![\w-])|(?<![\w-])(?:p|per)-k(?![\w-])", "пер", low)  # its к is no corpus
     low = re.sub(ROOMS, " ", re.sub(CODES, " ", re.sub(COUNTRY, " ", low)))
     code = ""
     if found := re.search(r"(?<!\d)(\d{6})(?!\d)", low):
@@ -80,7 +98,7 @@ def read(value: str | None) -> Address | None:
             parts[key] = fold(next(x for x in found.groups() if x))
             low = low[: found.start()] + " , " + low[found.end() :]
     number = ""
-    for pattern in (r"\b(?:дом|д|dom|d)\b\.?\s*№?\s*(\d+)(?:[\s\"«“-]*([а-яa-z])(?![^\W\d_]))?[\"»”]?(?:\s*/\s*(\d+))?", r"№?\s*\b(\d+)(?:[\s\"«“-]*([а-яa-z])(?![^\W\d_]))?[\"»”]?(?:\s*/\s*(\d+))?"):
+    for pattern in (rf"\b(?:дом|д|dom|d)\b\.?\s*№?\s*(\d+)(?:[\s\"«“-]*((?!{_TOWN_AFTER})[а-яa-z])(?![^\W\d_]))?[\"»”]?(?:\s*/\s*(\d+))?", rf"№?\s*\b(\d+)(?:[\s\"«“-]*((?!{_TOWN_AFTER})[а-яa-z])(?![^\W\d_]))?[\"»”]?(?:\s*/\s*(\d+))?"):
         if found := re.search(pattern, low):
             number = found[1] + fold(found[2] or "") + ("/" + found[3] if found[3] else "")
             low = low[: found.start()] + " , " + low[found.end() :]

@@ -73,10 +73,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_links.pairs_of(p3_linked(spark, sf_dir))
 
 
-def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each address of the four fields with its building."""
+def _matched_addresses(spark: SparkSession, sf_dir: str) -> address_links.Matched:
     fields = {"enforcement_orders": "fssp.address", "executive_documents": "court.address", "invoices_upd": "seller.address", "salary_deductions": "authority.address"}
-    return address_links.buildings(address_links.addresses((table(spark, sf_dir, t), c) for t, c in fields.items()))
+    return address_links.matched(address_links.addresses((table(spark, sf_dir, t), c) for t, c in fields.items()))
+
+
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address of the four fields with its building, how many it might be, and how sure that is."""
+    return _matched_addresses(spark, sf_dir).linked
+
+
+def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buildings that ambiguous addresses may be, by candidate set."""
+    return address_links.candidates_of(_matched_addresses(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +132,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline(F.concat(wrong, other)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p5_found, p5_linked, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p5_found, p5_linked, p5_candidates, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
 ORACLES: dict[str, str] = {}
