@@ -8,8 +8,8 @@ An address that lacks a level inherits candidates. A locality without a region m
 else one within two slips of it; a street without a locality is looked up in its region, or in all. A known
 building answers to the patterns that its levels can be cut down to; a pattern knows its only building or how many it
 has. The fewest slips win; if several buildings are left, the postal code's first digits may single one out. What is
-still ambiguous stays so: the address is linked with none, keeps the number of its candidates, and its ``candidate_set`` names
-the pattern under which :func:`candidates_of` lists them. No address meets all buildings of its street and house.
+still ambiguous stays so: the address is linked with none, keeps the number of its candidates, and its ``candidate_sets``
+are the patterns under which :func:`candidates_of` lists them. No address meets all buildings of its street and house.
 
 Nulls, blanks and values without a house denote no building. Values that no building fits stand for themselves.
 Repeated rows count once. No column besides the address is read.
@@ -102,7 +102,7 @@ class Matched(NamedTuple):
 
 def matched(read: DataFrame) -> Matched:
     """:func:`addresses`' rows with their buildings, and the patterns (candidate_set, building) of known buildings."""
-    lit, none = F.lit, F.lit(None).cast("string")
+    lit, none, no_sets = F.lit, F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     rows = durable(read)
     # regions
     regions = name_level(rows.where(_has("region")).select(lit("r").alias("space"), F.col("region").alias("core"), "address", "n"), rows.limit(0).select(lit("r").alias("space"), F.col("region").alias("core")))
@@ -148,30 +148,30 @@ def matched(read: DataFrame) -> Matched:
     nearest = found.join(found.groupBy("address").agg(F.min("slips").alias("slips")), ["address", "slips"])
     one = F.when(F.col("many") == 1, F.col("only"))
     summed = nearest.groupBy("address", "slips").agg(
-        F.countDistinct("only").alias("_only"), F.max("many").alias("_most"), F.sum("many").alias("_sum"), F.min(one).alias("_one"), F.min("pattern").alias("candidate_set"), F.countDistinct("only3").alias("_only3"), F.max("many3").alias("_most3"), F.min("only3").alias("_one3")
+        F.countDistinct("only").alias("_only"), F.max("many").alias("_most"), F.sum("many").alias("_sum"), F.min(one).alias("_one"), F.sort_array(F.collect_set("pattern")).alias("candidate_sets"), F.countDistinct("only3").alias("_only3"), F.max("many3").alias("_most3"), F.min("only3").alias("_one3")
     )
     single, by_code = (F.col("_only") == 1) & (F.col("_most") == 1), (F.col("_only3") == 1) & (F.col("_most3") == 1)
     settled_one = F.when(single, F.col("_one")).when(by_code, F.col("_one3"))
     candidates = F.when(single, lit(1)).otherwise(F.greatest(F.col("_only"), F.when(F.col("_only") == 1, F.col("_most")).otherwise(F.col("_sum"))))
     trust = F.pow(lit(TRUST), F.col("slips")) / F.when(single, lit(1.0)).when(by_code, lit(1 / TRUST)).otherwise(candidates)
-    loose = summed.select("address", F.coalesce(settled_one, _pattern(lit("address"), "address")).alias("building"), candidates.cast("bigint").alias("candidates"), trust.alias("confidence"), F.when(settled_one.isNull(), F.col("candidate_set")).alias("candidate_set"))
-    done = whole.select("address", "building", lit(1).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), none.alias("candidate_set"))
+    loose = summed.select("address", F.coalesce(settled_one, _pattern(lit("address"), "address")).alias("building"), candidates.cast("bigint").alias("candidates"), trust.alias("confidence"), F.when(settled_one.isNull(), F.col("candidate_sets")).alias("candidate_sets"))
+    done = whole.select("address", "building", lit(1).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), no_sets.alias("candidate_sets"))
     known = durable(done.unionByName(loose))
-    left = rows.join(known, "address", "left_anti").select("address", _pattern(lit("levels"), "region", "town", "sort", "gender", "street", "house").alias("building"), lit(0).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), none.alias("candidate_set"))
+    left = rows.join(known, "address", "left_anti").select("address", _pattern(lit("levels"), "region", "town", "sort", "gender", "street", "house").alias("building"), lit(0).cast("bigint").alias("candidates"), lit(1.0).alias("confidence"), no_sets.alias("candidate_sets"))
     return Matched(known.unionByName(left), patterns)
 
 
 def buildings(read: DataFrame) -> DataFrame:
-    """(address, building, candidates, confidence, candidate_set) of :func:`addresses`' rows.
+    """(address, building, candidates, confidence, candidate_sets) of :func:`addresses`' rows.
 
-    An ambiguous address is a building of its own, with the number of its candidates and their set.
+    An ambiguous address is a building of its own, with the number of its candidates and their sets.
     """
     return matched(read).linked
 
 
 def candidates_of(found: Matched) -> DataFrame:
     """(candidate_set, building): the candidates of the sets that ambiguous addresses name."""
-    sets = found.linked.where("candidate_set IS NOT NULL").select(F.col("candidate_set").alias("pattern")).distinct()
+    sets = found.linked.select(F.explode("candidate_sets").alias("pattern")).distinct()
     return found.patterns.join(sets, "pattern").select(F.col("pattern").alias("candidate_set"), "building").distinct()
 
 
