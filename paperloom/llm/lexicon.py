@@ -1,74 +1,53 @@
-"""Ways in which clerks write the entries of the reference lists, as parameters of the matcher."""
+"""Parameters of the matcher: names of list entries that their spelling doesn't show, and remarks around values."""
 
 from __future__ import annotations
 
-# Common other names and abbreviations of list entries, by entry.
+# Names of entries of executive_documents.court.court_type that no rule derives from the entry.
 COURTS = {
-    "Районный суд общей юрисдикции": "районный суд; райсуд; р/с общей юр.; рай. суд общ. юрисд.; федеральный районный суд; р/с; рай. суд",
-    "Городской суд": "г/с; гор. суд; горсуд; городской федеральный суд",
-    "Арбитражный суд субъекта": "арбитр. суд субъекта федерации; АС субъекта РФ; арб. суд области (первая инстанция); арбитраж субъекта; арбитражный суд области; арбитражный суд",
-    "Арбитражный апелляционный суд": "ААС; апелл. арбитражный суд; апелляционный арбитраж; арб. апелляция",
-    "Арбитражный суд округа": "АС округа; арб. суд округа; кассационный арбитраж округа; окружной арбитраж; ФАС округа",
-    "Мировой судья": "мир. судья; мировой суд; участок мир. судьи; судебный участок мирового судьи",
-    "Третейский суд": "трет. суд; третейский; постоянно действующий третейский суд",
-    "Гарнизонный военный суд": "ГВС; гарн. воен. суд; военный гарнизонный; военный суд гарнизона; военный суд",
-    "Областной (краевой) суд": "обл. суд; облсуд; краевой суд; областной суд; крайсуд",
-    "Кассационный суд общей юрисдикции": "КСОЮ; кассац. суд общ. юр.; кассация общей юрисдикции",
-    "Апелляционный суд общей юрисдикции": "АСОЮ; апелл. суд общ. юр.; апелляция общей юрисдикции",
-    "Суд по интеллектуальным правам": "СИП; суд по интелл. правам; интеллектуальный суд",
+    "Районный суд общей юрисдикции": "федеральный районный суд; р/с",
+    "Городской суд": "г/с",
+    "Арбитражный суд субъекта": "арб. суд области (первая инстанция); арбитражный суд области; арбитражный суд",
+    "Арбитражный суд округа": "окружной арбитраж",
+    "Мировой судья": "судебный участок мирового судьи",
+    "Третейский суд": "постоянно действующий третейский суд",
+    "Областной (краевой) суд": "крайсуд",
+    "Суд по интеллектуальным правам": "интеллектуальный суд",
 }
-# The same for kinds of contract.
+# Names of entries of commercial_contracts.contract_type that no rule derives from the entry.
 CONTRACTS = {
-    "Договор поставки": "дог. пост.; поставка; поставка товара; контракт на поставку; договор на поставку продукции",
-    "Договор купли-продажи": "дог. к/п; ДКП; купля-продажа; купля продажа товара; договор продажи",
-    "Договор купли-продажи недвижимости": "ДКП недвижимости; купля-продажа недвиж. имущества; дог. к/п недвиж.; продажа недвижимости",
-    "Договор аренды нежилого помещения": "дог. аренды н/п; аренда офиса; аренда нежилого помещения; договор аренды (нежилое)",
-    "Договор субаренды": "дог. субар.; поднаём помещения; субарендный договор; субаренда",
-    "Договор аренды транспортного средства": "прокат авто; аренда ТС; дог. аренды трансп. ср-ва; аренда автомобиля",
-    "Договор подряда": "дог. подр.; подряд; договор на выполнение работ; подрядный договор",
-    "Договор субподряда": "субподряд; дог. субподр.; субподрядный договор",
-    "Договор строительного подряда": "дог. строит. подр.; стройподряд; подряд на строительство; строительный подряд",
-    "Договор возмездного оказания услуг": "ДВОУ; дог. ВОУ; договор на услуги; услуги (возмездные); оказание услуг",
-    "Договор займа": "займ; заём; дог. займа; договор денежного займа",
-    "Кредитный договор": "кредит; кред. дог.; договор кредита; банковский кредит",
-    "Договор лизинга": "лизинг; финансовая аренда; договор финансовой аренды; лизинговый договор",
-    "Договор транспортной экспедиции": "ТЭО; экспедиция; транспортно-экспедиционный договор; дог. трансп. эксп.",
-    "Договор перевозки груза": "дог. перевозки; грузоперевозка; перевозка; договор на перевозку грузов",
-    "Агентский договор": "агент. дог.; агентское соглашение; агентирование; договор с агентом",
-    "Договор комиссии": "комиссия; комиссионный договор; дог. комиссии",
-    "Договор хранения": "складское хранение; договор ответственного хранения; хранение; дог. хран.",
-    "Договор поручительства": "договор с поручителем; дог. поручит.; поручительство",
-    "Договор уступки права требования": "уступка прав; договор цессии; цессия; уступка требования",
-    "Лицензионный договор": "лицензия на ПО; лицензионное соглашение; лиценз. дог.; договор о лицензии",
+    "Договор купли-продажи": "дог. к/п",
+    "Договор аренды нежилого помещения": "аренда офиса",
+    "Договор субаренды": "поднаём помещения",
+    "Договор аренды транспортного средства": "прокат авто; аренда автомобиля",
+    "Договор подряда": "договор на выполнение работ",
+    "Договор возмездного оказания услуг": "договор на услуги",
+    "Договор займа": "заём",
+    "Договор лизинга": "финансовая аренда; договор финансовой аренды",
+    "Договор транспортной экспедиции": "ТЭО",
+    "Договор перевозки груза": "грузоперевозка",
+    "Агентский договор": "агентское соглашение; агентирование",
+    "Договор уступки права требования": "договор цессии; цессия",
 }
-# The same for kinds of document.
+# Names of entries of enforcement_orders.court.doc_type that no rule derives from the entry.
 DOCUMENTS = {
-    "Исполнительный лист": "ИЛ; и/лист; исп. лист; исполлист",
-    "Судебный приказ": "СП; приказ мирового судьи; суд. приказ; приказ суда",
-    "Исполнительная надпись нотариуса": "ИНН (надпись нотариуса); исп. надпись; надпись нотариуса; нотариальная исполнительная надпись",
-    "Постановление об административном правонарушении": "пост. по делу об АП; постановление по КоАП; административное постановление; пост. об адм. правонарушении; административное пост-ие",
-    "Нотариальное соглашение об уплате алиментов": "алиментное соглашение; соглашение об алиментах; нотар. согл. об алиментах",
-    "Удостоверение комиссии по трудовым спорам": "КТС удост.; удостоверение КТС; удост. комиссии по труд. спорам",
-    "Акт органа контроля": "акт контролирующего органа; акт контр. органа; акт о взыскании органа контроля",
-    "Постановление судебного пристава-исполнителя": "пост. СПИ; пост. суд. пристава; постановление пристава; постановление судебного пристава",
-    "Определение суда": "опр. суда; определение; судебное определение",
-    "Постановление налогового органа": "пост. ИФНС; пост. налог. органа о взыскании; постановление налоговой",
-    "Запрос центрального органа о розыске ребёнка": "запрос центр. органа, розыск реб.; розыск ребёнка (запрос); запрос о розыске ребёнка",
+    "Судебный приказ": "приказ мирового судьи",
+    "Постановление об административном правонарушении": "постановление по КоАП",
+    "Определение суда": "судебное определение",
+    "Постановление налогового органа": "пост. ИФНС",
 }
-# The same for kinds of party.
+# Names of entries of enforcement_orders.claimant.party_type that no rule derives from the entry.
 SIDES = {
-    "Физлицо": "ф/л; гр-н; физ. лицо; гражданин; физическое лицо; частное лицо; гражданка; гр-ка",
-    "Юрлицо": "ю/л; юр. лицо; организация; коммерческая организация; юридическое лицо",
-    "Индивидуальный предприниматель": "ИП; инд. предприниматель; предприниматель без образования юр. лица; ИП (физлицо-предприниматель)",
-    "Банк или кредитная организация": "банк; МФО / банк; кред. орг.; кредитная организация; коммерческий банк",
-    "Налоговый орган": "ФНС; ИФНС; инспекция ФНС России; налоговая; налог. инспекция",
-    "Государственный орган": "госорган; гос. орган; орган государственной власти; гос. учреждение власти",
+    "Физлицо": "ф/л; гр-н; гражданин; физическое лицо; частное лицо; гражданка; гр-ка",
+    "Юрлицо": "ю/л; организация; коммерческая организация; юридическое лицо",
+    "Индивидуальный предприниматель": "предприниматель без образования юр. лица; ИП (физлицо-предприниматель)",
+    "Банк или кредитная организация": "МФО / банк; кред. орг.; коммерческий банк",
+    "Налоговый орган": "ФНС; ИФНС; инспекция ФНС России; налог. инспекция",
+    "Государственный орган": "гос. учреждение власти",
     "Орган местного самоуправления": "ОМСУ; мун. орган; муниципалитет; муниципальный орган; администрация муниципального образования",
-    "Управляющая организация": "УК; УК ЖКХ; управляющая компания; упр. организация ЖКХ",
-    "Товарищество собственников жилья": "ТСЖ; товарищество собственников; тов-во собств. жилья",
-    "Кооператив": "ЖСК; кооп-в; потребкооператив; потребительский кооператив",
-    "Иностранное лицо": "ин. лицо; нерезидент; иностранная организация; иностр. компания",
-    "Прокурор": "прокуратура; прокурор в защиту интересов; прок-ра района",
+    "Управляющая организация": "УК; УК ЖКХ",
+    "Кооператив": "ЖСК; потребкооператив",
+    "Иностранное лицо": "нерезидент; иностранная организация; иностр. компания",
+    "Прокурор": "прокурор в защиту интересов; прок-ра района",
 }
 ALIASES = {
     "executive_documents.court.court_type": COURTS,
@@ -76,15 +55,6 @@ ALIASES = {
     "enforcement_orders.court.doc_type": DOCUMENTS,
     "enforcement_orders.claimant.party_type": SIDES,
 }
-# Things that are no entry of the field's list, near as they may look.
-OUTSIDE = {
-    "executive_documents.court.court_type": "орган опеки; нотариальная палата; уставный суд; комиссия по спорам; суд присяжных (упразднён); медиатор; межгосударственный суд; административная комиссия; конституционный суд; верховный суд",
-    "commercial_contracts.contract_type": "протокол разногласий; договор ренты; соглашение о намерениях; договор мены; акт приёма-передачи; трудовой договор; договор страхования; брачный договор; договор простого товарищества; договор дарения",
-    "enforcement_orders.court.doc_type": "доверенность; паспорт должника; претензия; счёт на оплату; заявление взыскателя; выписка из реестра; акт сверки; платёжное поручение; справка о задолженности",
-    "enforcement_orders.claimant.party_type": "адвокатское бюро; свидетель; профсоюз; дипломатическое представительство; эксперт; политическая партия; третье лицо; религиозная группа",
-}
-# Values that say nothing.
-NOTHING = "не указано; н/д; иное; прочее; без типа; нечитаемо; см. скан; уточняется; нет данных; неизвестно; отсутствует; не определён"
 # Remarks around a value; none names a kind of anything.
 BEFORE = ("тип", "вид", "н", "наименование", "название")
 AFTER = ("копия", "оригинал", "дубликат", "экз", "скан", "бн", "подлинник", "прил")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import address_links, canon_list, glyphs, langid, mixing, name_links, packing, tokens
+from paperloom.llm import address_links, canon_list, glyphs, langid, lexicon, mixing, name_links, packing, tokens
 from paperloom.session import table
 
 GLYPH_FIELDS = {
@@ -29,7 +29,7 @@ LISTED = {
 def p1_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value of the four fields with the entry meant (0: none) and its distance."""
     values = canon_list.field_values({p: (table(spark, sf_dir, t), c) for p, (t, c) in LISTED.items()}, "rec_id")
-    return canon_list.map_to_list(values, table(spark, sf_dir, "ref_values"))
+    return canon_list.map_to_list(values, table(spark, sf_dir, "ref_values"), lexicon.ALIASES)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

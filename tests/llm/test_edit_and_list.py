@@ -47,6 +47,11 @@ def refs(spark, tiny):
 
 @pytest.fixture(scope="module")
 def matcher(refs):
+    return canon_list.Matcher(refs, {}, lexicon.ALIASES)
+
+
+@pytest.fixture(scope="module")
+def plain(refs):
     return canon_list.Matcher(refs, {})
 
 
@@ -68,6 +73,39 @@ def test_known_ways_of_writing(matcher, refs, value):
     assert matcher.best(DOC, value)[2] == ref(refs, CASES[value])
 
 
+COURT, CONTRACT, SIDE = "executive_documents.court.court_type", "commercial_contracts.contract_type", "enforcement_orders.claimant.party_type"
+# ways of writing that no list has: cut, drawn together, initials, words left out, added or derived, and slips besides
+RULES = [
+    (DOC, "исп. лист", "Исполнительный лист"), (DOC, "и/лист", "Исполнительный лист"), (DOC, "исполлист", "Исполнительный лист"), (DOC, "ИЛ", "Исполнительный лист"), (DOC, "СП", "Судебный приказ"),
+    (COURT, "райсуд", "Районный суд общей юрисдикции"), (COURT, "КСОЮ", "Кассационный суд общей юрисдикции"), (COURT, "ААС", "Арбитражный апелляционный суд"), (COURT, "АС округа", "Арбитражный суд округа"), (COURT, "гарн. воен. суд", "Гарнизонный военный суд"), (COURT, "СИП", "Суд по интеллектуальным правам"),
+    (CONTRACT, "поставка", "Договор поставки"), (CONTRACT, "ДКП", "Договор купли-продажи"), (CONTRACT, "дог. субподр.", "Договор субподряда"), (CONTRACT, "комиссионный договор", "Договор комиссии"), (CONTRACT, "поручительсто", "Договор поручительства"),
+    (SIDE, "тов-во собств. жилья", "Товарищество собственников жилья"), (SIDE, "госорган", "Государственный орган"), (SIDE, "прок-р", "Прокурор"), (SIDE, "юр. лицо", "Юрлицо"),
+]
+
+
+@pytest.mark.parametrize("field,value,want", RULES)
+def test_ways_of_writing_that_follow_from_the_entry(plain, refs, field, value, want):
+    assert plain.best(field, value)[2] == ref(refs, want)
+
+
+@pytest.mark.parametrize("field,value", [(CONTRACT, "договор мены"), (CONTRACT, "трудовой договор"), (CONTRACT, "брачный договор"), (COURT, "верховный суд"), (COURT, "суд"), (DOC, "акт сверки"), (DOC, "доверенность"), (SIDE, "профсоюз")])
+def test_what_the_list_lacks_is_a_miss_without_a_list_of_such(plain, field, value):
+    assert plain.best(field, value)[2] == canon_list.MISS
+
+
+def test_another_list_needs_no_vocabulary():
+    """Job titles, held out of everything: cut words, initials, slips, order, the other layout."""
+    titles = ["Главный бухгалтер", "Заместитель генерального директора", "Начальник отдела кадров", "Инженер по охране труда", "Водитель погрузчика", "Старший научный сотрудник"]
+    m = canon_list.Matcher([(i, "f", t) for i, t in enumerate(titles, 1)], {})
+    cases = {"гл. бухгалтер": 1, "главбухгалтер": 1, "бухгалтер главный": 1, "Ukfdysq ,e[ufknth": 1, "зам. ген. директора": 2, "ЗГД": 2, "нач. отдела кадров": 3, "НОК": 3, "инж. по охр. труда": 4, "инженер охраны труда": 4, "водитель погрузчка": 5, "водит. погрузч.": 5, "ст. науч. сотр.": 6, "СНС": 6, "starshiy nauchnyy sotrudnik": 6, "сторож": 0, "директор": 0}
+    assert {v: m.best("f", v)[2] for v in cases} == cases
+
+
+def test_glued_beginnings():
+    assert canon_list.glued("исполлист", ["исполнительный", "лист"]) == (0, 1)
+    assert canon_list.glued("листлист", ["исполнительный", "лист"]) is None and canon_list.glued("лист", ["лист"]) is None
+
+
 @pytest.mark.parametrize("value", ["не указано", "???", "—", "Акт сверки", "акт сверик", "Претензия", "zzz qqq", "СПИ4", "см. скан (копия)", "x" * 5000])
 def test_misses(matcher, value):
     assert matcher.best(DOC, value)[2] == canon_list.MISS
@@ -100,6 +138,8 @@ def test_blocks_of_the_list_give_the_same(spark, tiny, monkeypatch):
 
     whole = sorted(map(tuple, queries.p1_found(spark, tiny).collect()))
     monkeypatch.setattr(canon_list, "BLOCK", 20)
+    monkeypatch.setattr(canon_list, "VALUES", 100)
+    monkeypatch.setattr(canon_list, "MAPPED", 10)
     assert sorted(map(tuple, queries.p1_found(spark, tiny).collect())) == whole
 
 
