@@ -53,7 +53,7 @@ def _slips(noisy: pd.Series, clean: pd.Series) -> pd.Series:
 def addresses(frames: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Distinct addresses of (frame, column) with their levels."""
     distinct = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("address")) for df, c in frames]).where(F.col("address").rlike(r"\d")).groupBy("address").agg(F.count(F.lit(1)).alias("n"))
-    return _spread(distinct, "address").withColumn("_a", _read("address")).where(F.col("_a.house").isNotNull()).select("address", "n", "_a.*")
+    return _spread(distinct, F.xxhash64("address")).withColumn("_a", _read("address")).where(F.col("_a.house").isNotNull()).select("address", "n", "_a.*")
 
 
 class Names(NamedTuple):
@@ -92,7 +92,7 @@ def _has(*levels: str) -> Column:
 
 
 def _pattern(*levels: Column | str) -> Column:
-    return F.sha2(F.concat_ws("\x01", *levels), 256)
+    return F.md5(F.concat_ws("\x01", *levels))
 
 
 class Matched(NamedTuple):

@@ -4,7 +4,8 @@ Word-first backoff. A word met in training scores by its log frequency in each l
 back to the longest character n-grams of it that were met, five letters down to one. A line takes the sum over its
 words, a document the language of most letters in its lines.
 
-The model is fitted on at most ``SAMPLE`` documents, taken by a hash of their id, from the labels as delivered. As
+The model is fitted on at most ``SAMPLE`` documents of at most ``SAMPLE_BYTES`` together, whole texts from the labels as
+delivered: from each label's documents, and from those without one, the same number with the smallest hashes of their ids. As
 these are partly wrong and some texts mix languages, it then labels the lines of the sample itself and is fitted
 again on those, a few times over. Corpora of every size take the same way; all documents and whole texts are
 labelled, each where it is read.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.glyphs import unify
 
 LANGS = ("ru", "en", "uk", "be", "kk", "de")
-#: Bound of the documents that the model is fitted on.
-SAMPLE = 3_000
+#: Bounds of the documents that the model is fitted on, and of the bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 3_000, 64 << 20
 ROUNDS, LONGEST, LEAST_LETTERS, REMEMBERED = 3, 5, 20, 300_000
 # Frequent words that belong to the languages, the first evidence where labels are few.
 SEEDS = {
@@ -180,11 +181,23 @@ def fitted(texts: list[str | None], labels: list[str | None]) -> Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """The model of at most ``SAMPLE`` labelled documents."""
-    rows = docs.count()
-    share = 1.0 if rows <= SAMPLE else 0.95 * SAMPLE / rows  # a little less, so that the limit below hardly ever cuts
-    taken = docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = taken.select(text, label).limit(SAMPLE).toPandas()
+    """The model of at most ``SAMPLE`` labelled documents; an id that repeats gives all its rows, so ids should be unique."""
+    first = F.split(F.trim(F.lower(F.regexp_replace(label, r"^\s+", ""))), r"[-_\s(]")[0]
+    group = F.coalesce(*[F.when(first.isin([n for n, c in CODES.items() if c == code]), code) for code in LANGS], F.lit(""))
+    keyed = docs.select(F.xxhash64(key).alias("_h"), F.octet_length(text).alias("_bytes"), group.alias("_g"))
+    rows = {r["_g"]: r["count"] for r in keyed.groupBy("_g").count().collect()}  # one for each language
+    each = SAMPLE // (len(LANGS) + 1)
+    near = F.lit(False)
+    for code, n in rows.items():  # about twice as many as are taken, told by the hash alone
+        near = near | (F.col("_g") == code) & (F.pmod("_h", F.lit(1 << 40)) < int(min(1.0, (2 * each + 50) / n) * (1 << 40)))
+    taken, used, have = [], 0, Counter()
+    for r in sorted(keyed.where(near).select("_g", "_h", F.coalesce("_bytes", F.lit(0)).alias("_bytes")).collect(), key=lambda r: (r["_h"] % (1 << 40), r["_h"])):
+        if have[r["_g"]] < each and used + r["_bytes"] <= SAMPLE_BYTES:
+            have[r["_g"]] += 1
+            used += r["_bytes"]
+            taken.append(r["_h"])
+    hashes = docs.sparkSession.createDataFrame([(h,) for h in taken], "_h bigint").distinct()
+    sample = docs.select(F.xxhash64(key).alias("_h"), text, label).join(F.broadcast(hashes), "_h").orderBy("_h").drop("_h").toPandas()
     return fitted(sample[text].tolist(), sample[label].tolist())
 
 

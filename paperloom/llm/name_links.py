@@ -185,7 +185,7 @@ def _by_slips(core: Column) -> Column:
     return F.array_distinct(F.concat(short, F.when(n >= TWO - 2, _signatures(core, 2, TWO)).otherwise(none)))
 
 
-def _spread(df: DataFrame, *key: str) -> DataFrame:
+def _spread(df: DataFrame, *key: Column | str) -> DataFrame:
     """``df`` over as many tasks as the session shuffles to: a given number isn't merged into fewer."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 

@@ -104,15 +104,19 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir))
 
 
+def _source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of each mixture."""
-    counts = tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
-    return mixing.mixed(counts, table(spark, sf_dir, "mix_targets"))
+    return mixing.mixed(_source_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that each mixture reaches."""
-    return mixing.shares(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    counts, targets = _source_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixed(counts, targets), targets, counts)
 
 
 def p8_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

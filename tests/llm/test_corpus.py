@@ -157,7 +157,7 @@ def test_few_labels_still_give_a_model():
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_runs_at_the_smallest_size(spark, tiny, name):
-    assert queries.QUERIES[name](spark, tiny).count() > 0
+    assert queries.QUERIES[name](spark, tiny).count() >= (name != "p5_candidates")  # nothing is ambiguous there
 
 
 def test_clashing_columns(spark, model):
@@ -175,3 +175,46 @@ def test_clashing_columns(spark, model):
     values = spark.createDataFrame([("f", "Городской суд", 99, "d")], "field_path string, value string, ref_id long, distance string")
     refs = spark.createDataFrame([(1, "f", "Городской суд")], "ref_id long, field_path string, canonical string")
     assert canon_list.map_to_list(values, refs).first()["ref_id"] == 1
+
+
+def test_a_size_may_be_asked_for(spark):
+    counts = spark.createDataFrame([(i, "ab"[i % 2], i % 50) for i in range(2000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(1, "a", 0.5, 2), (1, "b", 0.5, 1)], "mix_id long, source string, target_share double, max_repeats int")
+    whole, part = (mixing.shares(mixing.mixed(counts, targets, size=s), targets, counts, size=s).collect() for s in (None, 10_000))
+    assert {r["limited_by"] for r in whole} == {"a"} or {r["limited_by"] for r in whole} == {"b"}
+    assert {r["limited_by"] for r in part} == {None} and all(abs(r["tokens"] - 5000) < 50 for r in part)
+    assert all(r["unused_tokens"] >= 0 for r in [*whole, *part])
+    assert mixing.mixed(counts, targets).where("n_tokens = 0").count() == 0
+
+
+def test_packing_has_no_bounds_on_ids_and_capacities(spark):
+    counts = spark.createDataFrame([(i, 1 + i * 7919 % 900) for i in range(500)] + [(1000, 3_000_000)], "doc_id long, n_tokens long")
+    out = packing.packed(counts, {1 << 40: [1 << 21], 200: [1000, 512]})
+    bins = out.groupBy("pack_id", "container_id").agg(F.sum("tokens").alias("t"), F.first("capacity_tokens").alias("c"), F.first("used_tokens").alias("u"))
+    assert bins.where("t > c OR t <> u").count() == 0
+    assert {r["pack_id"]: r["n"] for r in out.groupBy("pack_id").agg(F.sum("tokens").alias("n")).collect()} == dict.fromkeys((200, 1 << 40), counts.agg(F.sum("n_tokens")).collect()[0][0])
+    report = {r["pack_id"]: r for r in packing.fill_report(out).collect()}
+    assert report[1 << 40]["gap"] == 0 and 0 <= report[200]["gap"] < 0.02
+
+
+def test_joint_packing_is_never_dearer_than_one_capacity():
+    rng = random.Random(17)
+    for _ in range(30):
+        counts = {rng.randint(1, 100): rng.randint(1, 40) for _ in range(12)}
+        cost = lambda p: sum(n * c for _, n, c, _ in p.bins)
+        assert cost(packing.jointly(counts, [50, 100, 70])) <= cost(packing.pack(counts, [100]))
+    assert packing.jointly({}, [5]).bins == []
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "слово " * 20, "ru") for i in range(900)] + [(1000 + i, "wort und zeile " * 5, "de") for i in range(5)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "SAMPLE", 70)
+    monkeypatch.setattr(langid, "fitted", lambda texts, labels: seen.append((texts, labels)))
+    langid.fit(docs)
+    assert seen[0][1].count("de") == 5 and seen[0][1].count("ru") == 10
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 500)
+    langid.fit(docs.repartition(9))
+    assert 0 < sum(len(t.encode()) for t in seen[1][0]) <= 500
+    langid.fit(docs.limit(0))
+    assert seen[2] == ([], [])
