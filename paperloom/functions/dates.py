@@ -19,7 +19,7 @@ def _built(year: Column, month: Column, day: Column) -> Column:
 
 def flexible_date(text: Column) -> Column:
     """The date in ``text``: ISO, d.m.y, d/m/y (not within longer numbers) or with the month in words; null if none is valid."""
-    iso, dots, slashes = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b", r"(?U)\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", r"(?U)(?:^|[^\w/])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d/])"
+    iso, dots, slashes = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b", r"(?U)\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", r"(?U)(?<![\w/])(\d\d?)/(\d\d?)/(\d{4})(?![/\d])"
     numbered = F.create_map(*[F.lit(x) for m, ns in MONTHS.items() for n in ns.split() for x in (n, str(m))])
     words = rf"(\d{{1,2}})\s+({'|'.join(n for ns in MONTHS.values() for n in ns.split()[::-1])})\s+(\d{{4}})"
     x = F.regexp_extract

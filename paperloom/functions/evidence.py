@@ -87,3 +87,32 @@ def gate(text: Column, **fields: Column) -> Column:
     """Names of the fields that the text doesn't bear out; null where the text is too short to tell."""
     missing = F.filter(F.array(*[F.when(~present(v, text), F.lit(n)) for n, v in fields.items()]), lambda x: x.isNotNull())
     return F.when(F.length(trimmed(text)) >= LEAST_TEXT, missing)
+
+
+def _tokens(text: Column) -> Column:
+    """The words of four letters and more."""
+    return F.filter(F.split(text, r"[\s,]+"), lambda t: F.length(t) >= 4)
+
+
+def gate_report(text: Column, fields: dict[str, tuple[Column, int]], names: dict[str, Column] | None = None, authorities: dict[str, Column] | None = None) -> Column:
+    """(field, value) of what ``text`` doesn't bear out; null where the text is too short to tell.
+
+    ``fields`` {name: (value, least length)} are looked up whole, but for zeros and values that are too short; ``names`` by
+    their first word of four letters; ``authorities`` fail only if none of their words is found. Of equal values
+    among fields and names the first one counts.
+    """
+    def missing(name: str, shown: Column, sought: Column, lacks: Column) -> Column:
+        return F.when(lacks, F.struct(F.lit(name).alias("field"), shown.alias("value"), sought.alias("sought")))
+
+    found = []
+    for name, (value, least) in fields.items():
+        v = trimmed(value.cast("string"))
+        nothing = v.isNull() | (F.length(v) < least) | F.coalesce(v.try_cast("double") == 0, F.lit(False)) & v.rlike(r"^[-+]?0*[.,]?0*(?:[eE][-+]?\d+)?$")
+        found.append(missing(name, v, v, ~nothing & ~present(v, text, 1)))
+    for name, value in (names or {}).items():
+        first = F.try_element_at(_tokens(value), F.lit(1))
+        found.append(missing(name, value, first, first.isNotNull() & ~present(first, text, 1)))
+    once = let(F.filter(F.array(*found), lambda x: x.isNotNull()), lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["sought"] == x["sought"])))
+    of = [missing(name, v, v, (F.size(_tokens(v)) > 0) & ~F.exists(_tokens(v), lambda t: present(t, text, 1))) for name, v in (authorities or {}).items()]
+    whole = F.concat(once, F.filter(F.array(*of), lambda x: x.isNotNull())) if of else once
+    return F.when(F.length(trimmed(text)) >= LEAST_TEXT, F.transform(whole, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"))))

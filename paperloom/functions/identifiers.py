@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.blanks import trimmed
 from paperloom.functions.numbers import let
 
 # Weights of the check digits.
@@ -86,11 +87,51 @@ def valid_kpp(text: Column) -> Column:
 
 
 def case_file_number(text: Column) -> Column:
-    """Numbers of enforcement cases written without strokes, with them put in."""
-    return F.when(F.contains(text, F.lit("/")), text).otherwise(F.regexp_replace(text, r"^(\d{5})(\d{2})(\d{4,6})-ИП$", "$1/$2/$3-ИП"))
+    """Numbers of enforcement cases written without strokes, with them put in; a number sign before them is dropped.
+
+    Anything else, and what has a stroke already, stays but for white space at its ends.
+    """
+    s = trimmed(text)
+    return F.when(F.contains(s, F.lit("/")), s).otherwise(F.regexp_replace(s, r"(?U)^№*\s*(\d{5})(\d{2})(\d{4,6})-ИП$", "$1/$2/$3-ИП"))
 
 
 def file_number_score(text: Column) -> Column:
     """100 for a stroke and a digit, 80 for four characters with a digit, else 30."""
     digit = text.rlike(r"\d")
     return F.when(digit & F.contains(text, F.lit("/")), 100.0).when(digit & (F.length(text) >= 4), 80.0).otherwise(30.0)
+
+
+# What stands for a kind of document that wasn't read, as words.
+NO_KIND = """unknown; undefined; null; none; nan; n a; n d; nd; н а; н д; не определен; неопределен; неопределенный; неопределенный документ;
+не определен документ; неопределенный тип документа; не определен тип документа; неизвестно; неизвестный; неизвестный документ;
+неизвестный тип документа; не удалось определить; нет; нет данных; нет значения; нет типа; отсутствует; отсутствует значение; не указан;
+не указано; не заполнено; не распознан; не распознано; тип документа; вид документа; doc type; document type"""
+
+
+def no_kind(text: Column) -> Column:
+    """Whether a kind of document is null, empty or a placeholder, whatever its case, signs and blanks."""
+    plain = F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
+    words = F.trim(F.regexp_replace(plain, "[^0-9a-zа-я]+", " "))
+    return F.coalesce(words.isin("", *[" ".join(x.split()) for x in NO_KIND.split(";")]), F.lit(True))
+
+
+# Forms of fields that have no check digits.
+FORMS = {"blank_series": "^[А-ЯЁA-Z]{1,6}$", "blank_number": r"^\d{6,12}$", "kpp": r"^\d{9}$", "oktmo": r"^(?:\d{8}|\d{11})$", "bik": r"^0[14]\d{7}$", "account": r"^\d{20}$"}
+
+
+def well_formed(text: Column, kind: str) -> Column:
+    """Whether ``text`` has the form of a ``kind`` of ``FORMS``, digits alone being compared where it consists of them; null for blanks."""
+    value = digits(text) if r"\d" in FORMS[kind] and kind != "blank_number" else F.upper(trimmed(text))
+    return F.when(F.coalesce(trimmed(text), F.lit("")) != "", value.rlike(FORMS[kind]))
+
+
+def bank_state(bik: Column, account: Column) -> Column:
+    """What is wrong with a bank's code and an account: ``bik``, ``account``, ``key`` or ``ok``; null where both are blank."""
+    b, a = (F.nullif(digits(x), F.lit("")) for x in (bik, account))
+    return (
+        F.when(b.isNull() & a.isNull(), None)
+        .when(b.isNotNull() & ~well_formed(b, "bik"), "bik")
+        .when(a.isNotNull() & ~well_formed(a, "account"), "account")
+        .when(a.isNotNull() & b.isNotNull() & ~valid_account(a, b), "key")
+        .otherwise("ok")
+    )

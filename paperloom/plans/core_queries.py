@@ -385,35 +385,83 @@ def q_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("rec_id", text.comparable(F.col("claim_subject")).alias("subject"), text.comparable(F.col("court.base_decision")).alias("decision"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_\-]{8,}', 'sk-***', 'g'), '(?i)bearer\s+[A-Za-z0-9._\-]+', 'Bearer ***', 'g'), '(?i)(api[_-]?key|token|password)\s*[=:]\s*\S+', '\1=***', 'g'), '\b\d{4}\s?\d{6}\b', '**** ******', 'g')) AS digest FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '(sk-[a-zA-Z0-9_\-]{8})[a-zA-Z0-9_\-]+', '\1***REDACTED***', 'g'), '(Bearer\s+[a-zA-Z0-9_\-.]{8})[a-zA-Z0-9_\-.]+', '\1***REDACTED***', 'g'),
+    '(key[=:]\s*[''"]?)[a-zA-Z0-9_\-]{7,}', '\1***REDACTED***', 'g'), '(\b\d{4}\s+)\d{6}\b', '\1***REDACTED***', 'g')) AS digest FROM documents""")
 def q_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.masked(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(r"SELECT rec_id, nullif(regexp_extract(claimant.details, '(?i)ИНН(?:\s*получателя)?[\s:]*([0-9]{10})\b', 1), '') AS inn, nullif(regexp_extract(claimant.details, '(?i)КПП(?:\s*получателя)?[\s:]*([0-9]{9})\b', 1), '') AS kpp FROM enforcement_orders")
+def _word_after(x: str, words: str, value: str) -> str:
+    """SQL of the first ``value`` after one of ``words``; the value ends where no more of its kind follows."""
+    return f"nullif(regexp_extract({x}, '(?i)(?:{words})[\\s:№]*({value})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '')"
+
+
+def _alone(x: str, value: str) -> str:
+    return f"nullif(regexp_extract({x}, '(?:^|[^\\p{{L}}\\p{{N}}_])({value})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '')"
+
+
+def _details_sql(key: str, x: str, source: str) -> str:
+    words = {"bik": ("бик(?:\\s*тофк)?", "[0-9]{9}"), "account": ("казначейский\\s*счет|расчетный\\s*счет|р/с|счет|сч", "[0-9]{20}"), "inn": ("инн(?:\\s*получателя)?", "[0-9]{10}"), "kpp": ("кпп(?:\\s*получателя)?", "[0-9]{9}"), "oktmo": ("октмо", "[0-9]{8,11}"), "uin": ("уин", "[0-9]{20,25}")}
+    bare = {"bik": ["0[1-4][0-9]{7}"], "account": ["03[12][0-9]{17}|401[0-9]{17}", "[0-9]{20}"], "uin": ["322[0-9]{17,22}"]}
+    columns = [f"coalesce({', '.join([_word_after(x, *w), *[_alone(x, v) for v in bare.get(n, [])]])}) AS {n}" for n, w in words.items()]
+    return f"SELECT {key}, {', '.join(columns)} FROM {source}"
+
+
+@query(_details_sql("rec_id", "claimant.details", "enforcement_orders"))
 def q_payment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.payment_details(F.col("claimant.details"))
-    return table(spark, sf_dir, "enforcement_orders").select("rec_id", found["inn"].alias("inn"), found["kpp"].alias("kpp"))
+    return table(spark, sf_dir, "enforcement_orders").select("rec_id", *[c.alias(n) for n, c in text.payment_details(F.col("claimant.details")).items()])
 
 
-_D1, _D2, _B = r"(?i)(?:от|дата|выдан)[\s:]*(\d{1,2}[./\-]\d{1,2}[./\-]\d{4})", r"\b(\d{1,2}[./\-]\d{1,2}[./\-]\d{4})\b", "base_doc"
+@query(_details_sql("doc_id", "text", "documents"))
+def q_text_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text.payment_details(F.col("text")).items()])
 
 
-@query(rf"""SELECT rec_id, coalesce(nullif(regexp_extract({_B}, '{_D1}', 1), ''), nullif(regexp_extract({_B}, '{_D2}', 1), ''), '') AS base_date,
-    coalesce(nullif(regexp_replace(regexp_extract({_B}, '(?i)(?:№|номер|N)[\s:]*([A-Za-zА-Яа-я0-9\-./_]+)', 1), '[.,; ]+$', ''), ''), nullif(regexp_extract({_B}, '\(([A-Za-zА-Яа-я0-9\-./_]+)\)', 1), ''), '') AS base_number FROM salary_deductions""")
+@query(r"""SELECT rec_id, coalesce(nullif(regexp_extract(base_doc, '(?i)(?:от|дата|выдан)[\s:]*([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})', 1), ''), nullif(regexp_extract(base_doc, '(?:^|[^\p{L}\p{N}_])([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?:[^\p{L}\p{N}_]|$)', 1), ''), '') AS base_date,
+    coalesce(nullif(rtrim(regexp_extract(base_doc, '(?i)(?:№|номер|n)[\s:]*([a-zа-яё0-9_./-]+)', 1), '.'), ''), nullif(regexp_extract(base_doc, '[(]([A-Za-zА-Яа-яЁё0-9_./-]+)[)]', 1), ''), '') AS base_number FROM salary_deductions""")
 def q_base_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.base_document(F.col("base_doc"))
     return table(spark, sf_dir, "salary_deductions").select("rec_id", found["date"].alias("base_date"), found["number"].alias("base_number"))
 
 
-@query(r"""SELECT rec_id, CASE WHEN contains(ip_number, '/') THEN ip_number ELSE regexp_replace(ip_number, '^(\d{5})(\d{2})(\d{4,6})-ИП$', '\1/\2/\3-ИП') END AS ip_number,
-    coalesce(nullif(regexp_extract(ip_number, '(?i)/(\d{5})-ИП', 1), ''), '') AS office,
-    CAST(CASE WHEN regexp_matches(ip_number, '\d') AND contains(ip_number, '/') THEN 100 WHEN regexp_matches(ip_number, '\d') AND length(ip_number) >= 4 THEN 80 ELSE 30 END AS DOUBLE) AS format_score FROM enforcement_orders""")
+@query(r"""SELECT rec_id, CASE WHEN contains(ip_number, '/') THEN trim(ip_number) WHEN regexp_matches(ltrim(trim(ip_number), '№ '), '^[0-9]{11,13}-ИП$')
+    THEN concat(substr(ltrim(trim(ip_number), '№ '), 1, 5), '/', substr(ltrim(trim(ip_number), '№ '), 6, 2), '/', substr(ltrim(trim(ip_number), '№ '), 8)) ELSE trim(ip_number) END AS ip_number,
+    coalesce(nullif(regexp_extract(ip_number, '(?i)/([0-9]{5})-ИП', 1), ''), nullif(regexp_extract(ip_number, '(?:^|[^\p{L}\p{N}_])([0-9]{5})-ИП', 1), ''), '') AS office,
+    CAST(CASE WHEN regexp_matches(ip_number, '[0-9]') AND contains(ip_number, '/') THEN 100 WHEN regexp_matches(ip_number, '[0-9]') AND length(ip_number) >= 4 THEN 80 ELSE 30 END AS DOUBLE) AS format_score FROM enforcement_orders""")
 def q_file_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("ip_number")
     return table(spark, sf_dir, "enforcement_orders").select("rec_id", identifiers.case_file_number(n).alias("ip_number"), text.office_code(n).alias("office"), identifiers.file_number_score(n).alias("format_score"))
 
 
+_PLACEHOLDERS = ", ".join(f"'{' '.join(x.split())}'" for x in identifiers.NO_KIND.split(";"))
+
+
+@query("SELECT kind, count(*) AS n, bool_or(missing) AS missing FROM (" + " UNION ALL ".join(f"SELECT {c} AS kind, {c} IS NULL OR trim(regexp_replace(replace(lower({c}), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g')) IN ('', {_PLACEHOLDERS}) AS missing FROM {t}" for t, c in (("enforcement_orders", "court.doc_type"), ("commercial_contracts", "contract_type"), ("executive_documents", "court.court_type"))) + ") GROUP BY kind")
+def q_missing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.col(c).alias("kind")) for t, c in (("enforcement_orders", "court.doc_type"), ("commercial_contracts", "contract_type"), ("executive_documents", "court.court_type"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.bool_or(identifiers.no_kind(F.col("kind"))).alias("missing"))
+
+
+@query(r"""SELECT rec_id, CASE WHEN trim(coalesce(blank_series, '')) <> '' THEN regexp_matches(upper(trim(blank_series)), '^[А-ЯЁA-Z]{1,6}$') END AS series_ok,
+    CASE WHEN trim(coalesce(blank_number, '')) <> '' THEN regexp_matches(trim(blank_number), '^[0-9]{6,12}$') END AS number_ok FROM executive_documents""")
+def q_blank_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "executive_documents")
+    return df.select("rec_id", identifiers.well_formed(F.col("blank_series"), "blank_series").alias("series_ok"), identifiers.well_formed(F.col("blank_number"), "blank_number").alias("number_ok"))
+
+
+_SWEPT = {t: c for t, c in (("invoices_upd", ["doc_date"]), ("commercial_contracts", ["doc_date", "term_start", "term_end"]), ("legal_claims", ["doc_date", "contract_basis_date"]), ("executive_documents", ["act_date"]), ("enforcement_orders", ["doc_date", "court.act_date"]), ("salary_deductions", ["doc_date", "ip_date"]))}
+
+
+@query("SELECT source_table, field_name, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS field_name FROM {t} WHERE NOT {_blank(c)} AND {_date(c)} IS NULL" for t, cs in _SWEPT.items() for c in cs) + ") GROUP BY ALL")
+def q_unparseable_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def sweep(name: str) -> DataFrame:
+        issues = audit.audited(table(spark, sf_dir, name), audit.Spec()).select(F.explode(F.filter("issues", lambda x: x["code"] == "UNPARSEABLE_DATE")).alias("i"))
+        return issues.select(F.lit(name).alias("source_table"), F.col("i.field_name").alias("field_name"))
+
+    return reduce(DataFrame.unionByName, [sweep(t) for t in _SWEPT]).groupBy("source_table", "field_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- guardrails and formats
 
 GUARDS = [("doc_number", "not_empty"), ("doc_date", "date_format"), ("sender.inn", "valid_inn"), ("finances.total_claim_rub", "positive_number"), ("city", "required")]

@@ -59,6 +59,12 @@ def ship(spark: SparkSession) -> None:
     context._paperloom_shipped = True
 
 
+def ship_active() -> None:
+    """:func:`ship` for the active session, where there is one; functions that run Python in the executors call it."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read back.
 
@@ -67,6 +73,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    ship(spark)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="paperloom-"))
     return df.checkpoint(eager=True)

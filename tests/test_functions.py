@@ -73,7 +73,7 @@ def test_text_readers(spark):
     check(spark, lambda v: text.base_document(v)["number"], {"Исполнительный лист № ФС00001234 от 20.01.2016": "ФС00001234", "ВС (12-3)": "12-3", None: "", "": ""})
     check(spark, lambda v: text.base_document(v)["date"], {"Исполнительный лист № ФС00001234 от 20.01.2016": "20.01.2016", None: ""})
     check(spark, lambda v: text.payment_details(v)["bik"], {"БИК: 044525225": "044525225", "x": None, None: None})
-    check(spark, text.masked, {"sk-abcdefgh1234": "sk-***", "token=abc": "token=***", "4510 123456": "**** ******", None: None})
+    check(spark, text.masked, {"sk-abcdefgh1234": "sk-abcdefgh***REDACTED***", "token=abc": "token=abc", "4510 123456": "4510 ***REDACTED***", "ИНН 7707083893": "ИНН 7707083893", None: None})
     check(spark, text.file_stem, {"a/b:c": "a_b_c", "con": "_con", "": "unnamed", None: "unnamed", "x" * 90: "x" * 60})
     check(spark, lambda v: v.rlike(text.glob_pattern("*приказ*прием*")), {"приказ о прием": True, "прием приказ": False})
     check(spark, lambda v: v.rlike(text.glob_pattern("*upd*")), {"a_upd.pdf": True, "updated": False})
@@ -132,3 +132,17 @@ def test_paths(spark):
 def test_proximity(spark, pred, truth, near):
     df = spark.createDataFrame([(pred, truth)], "p double, t double")
     assert df.select(numbers.proximity(F.col("p"), F.col("t"))).first()[0] == near
+
+
+def test_amounts_are_found_in_linear_time(spark):
+    """Long lines without amounts, long runs of digits, many amounts: all end soon, and the first of each kind counts."""
+    long = "взыскать с " + "должника " * 20_000
+    many = "основной долг 5 руб. " * 5_000
+    rows = [long + "в размере 7 руб.", long, "1 " * 50_000, many, "9" * 100_000 + " руб"]
+    assert values(spark, lambda v: numbers.amounts_in(v)["total_rub"], rows)[:4] == [7.0, None, None, 5.0]
+
+
+def test_placeholders_and_forms(spark):
+    check(spark, identifiers.no_kind, {"N/A": True, "не указано": True, "Неопределённый документ": True, "": True, None: True, "Судебный приказ": False})
+    check(spark, lambda v: identifiers.well_formed(v, "blank_series"), {"ФС": True, "фс": True, "Ф1": False, "": None, None: None})
+    check(spark, lambda v: identifiers.well_formed(v, "oktmo"), {"05701000": True, "05701000001": True, "0570100": False, " ": None})

@@ -252,3 +252,17 @@ def test_verdict_columns_and_unwrapping(spark):
     got = [tuple(r) for r in flat.with_verdict(df, F.col("verdict"), F.col("verdict") == "discrepancy", ["partially_verified"]).select("Verdict", "VerdictValid", "RequiresHumanReview", "AdvisoryReview").collect()]
     assert got == [("verified", True, False, False), ("discrepancy", False, True, False), ("", None, True, False)]
     assert flat.unwrapped(df, "data", ["b", "id"]).columns == ["a", "b", "id"]
+
+
+def test_specs_of_types_without_a_table(spark):
+    rows = spark.createDataFrame(
+        [("1", "01.02.2023", ("1000", "200", "1200"), ("7707083893", "Альфа"), ("7707083894", "Бета"), "02.02.2023"), ("2", "01.02.2023", ("1000", "200", "1300"), ("7707083893", "Альфа"), (None, None), "31.31.2023")],
+        "doc_number string, doc_date string, finances struct<amount_no_vat_rub:string,vat_amount_rub:string,total_rub:string>, contractor struct<inn:string,name:string>, customer struct<inn:string,name:string>, contract_date string",
+    )
+    spec = audit.MORE_SPECS["acceptance_certificates"]
+    assert spec.problems(rows.schema) == []
+    got = audit.audited(rows, spec).orderBy("doc_number").select("verdict", "issues").collect()
+    assert [{i["code"] for i in r["issues"]} for r in got] == [{"INN_CHECKSUM", "CHRONO_CONTRACT_BEFORE_ACT"}, {"ACCEPTANCE_MATH_DISCREPANCY", "UNPARSEABLE_DATE"}]
+    assert [r["verdict"] for r in got] == ["discrepancy", "discrepancy"]
+    assert set(audit.MORE_SPECS) == {"hr_orders", "powers_of_attorney", "acceptance_certificates"}
+    assert audit.Spec(bank={"iban": "x"}).problems(rows.schema) == ["unknown bank details ['iban']"]

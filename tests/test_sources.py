@@ -82,3 +82,28 @@ def test_atomic_file_and_report(spark, tmp_path):
     target = tmp_path / "x.md"
     sinks.write_text(str(target), sinks.report(spark.createDataFrame([("a", None)], "t string, n int"), "Run"))
     assert target.read_text().startswith("# Run") and "| a |" in target.read_text() and len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_registry_survives_broken_runs_and_unreadable_files(spark, tmp_path):
+    path, key, schema = str(tmp_path / "registry"), ["file_path"], "file_path string, doc_type string, status string, extraction_failed boolean, seq int, n int"
+    rows = lambda *xs: spark.createDataFrame([(x, "t", "OK", False, q, q) for x, q in xs], schema)
+    sinks.write_registry(rows(*((f"f{i}", 1) for i in range(100))), path, key, "seq")
+    sinks.write_registry(rows(("f1", 2), ("new", 2)), path, key, "seq")
+    read = lambda: {r["file_path"]: r["seq"] for r in sinks.read_registry(spark, path).collect()}
+    want = {f"f{i}": 1 for i in range(100)} | {"f1": 2, "new": 2}
+    assert read() == want
+    # a run that broke off between taking a folder away and putting the new one there
+    folder = next(p for p in sorted((tmp_path / "registry").iterdir()) if p.name.startswith("_bucket="))
+    (tmp_path / "registry.old").mkdir()
+    folder.rename(tmp_path / "registry.old" / folder.name)
+    assert len(read()) < len(want)
+    sinks.write_registry(rows(("f1", 3)), path, key, "seq")
+    assert read() == want | {"f1": 3} and not (tmp_path / "registry.old").exists()
+    sinks.write_registry(rows().limit(0), path, key, "seq")
+    assert read() == want | {"f1": 3}
+    # a registry that can't be read is put aside
+    for f in (tmp_path / "registry").rglob("*.parquet"):
+        f.write_bytes(b"no parquet")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    sinks.write_registry(rows(("f1", 4)), path, key, "seq")
+    assert read() == {"f1": 4} and (tmp_path / "registry.unreadable1").exists()
