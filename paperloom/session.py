@@ -20,6 +20,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | extra
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("paperloom")
