@@ -162,25 +162,32 @@ def _plain_parts(value: str) -> str:
 
 
 def _number_run(run: str) -> str:
+    """Letters of the run as digits or in Cyrillic. Each pass is linear; it is repeated while a letter became a digit."""
     forms, digit = alike(), digits()
-    out = list(run)
-    for i, x in enumerate(run):
-        if x.isdigit() or not x.isalpha() and x != "|":
-            continue
-        if x in digit:
-            left, right = i, i
-            while left > 0 and run[left - 1] in digit:
-                left -= 1
-            while right < len(run) - 1 and run[right + 1] in digit:
-                right += 1
-            before, after = left > 0 and run[left - 1].isdigit(), right < len(run) - 1 and run[right + 1].isdigit()
-            edge = x in "OoОоΟοlIІіΙι|ıӀӏ" and (before and right == len(run) - 1 or after and left == 0)
-            if before and after or edge:
-                out[i] = digit[x]
+    n = len(run)
+    while True:
+        left, right = list(range(n)), list(range(n))  # ends of the stretch of look-alikes around each place
+        for i in range(1, n):
+            if run[i - 1] in digit:
+                left[i] = left[i - 1]
+        for i in range(n - 2, -1, -1):
+            if run[i + 1] in digit:
+                right[i] = right[i + 1]
+        out = list(run)
+        for i, x in enumerate(run):
+            if x.isdigit() or not x.isalpha() and x != "|":
                 continue
-        out[i] = forms.get(x, {}).get("c", x)
-    settled = "".join(out)
-    return settled if settled == run else _number_run(settled)  # a letter read as a digit may make its neighbour one
+            if x in digit:
+                before, after = left[i] > 0 and run[left[i] - 1].isdigit(), right[i] < n - 1 and run[right[i] + 1].isdigit()
+                edge = x in "OoОоΟοlIІіΙι|ıӀӏ" and (before and right[i] == n - 1 or after and left[i] == 0)
+                if before and after or edge:
+                    out[i] = digit[x]
+                    continue
+            out[i] = forms.get(x, {}).get("c", x)
+        settled = "".join(out)
+        if settled == run:
+            return run
+        run = settled
 
 
 def _name_run(run: str) -> str:

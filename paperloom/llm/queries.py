@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import address_links, canon_list, glyphs, langid, lexicon, mixing, name_links, packing, tokens
-from paperloom.session import table
+from paperloom.session import durable, table
 
 GLYPH_FIELDS = {
     "executive_documents": {"executive_documents.case_number": ("case_number", "number")},
@@ -113,6 +113,35 @@ def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_source_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each mixture: records over their cap on repeats, tokens of unlisted sources, and sources far from their share.
+
+    Far is 0.02 and more from the share among the sources that have tokens.
+    """
+    counts, targets = _source_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    out = durable(mixing.mixed(counts, targets))
+    report = mixing.shares(out, targets)
+    there = Window.partitionBy("mix_id")
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(there)).otherwise(0.0)
+    far = report.withColumn("_off", F.abs(F.col("actual_share") - wanted) >= 0.02)
+    sums = far.groupBy("mix_id").agg(F.count(F.lit(1)).alias("sources"), F.sum((F.col("most_repeats") > F.col("max_repeats")).cast("bigint")).alias("over_cap"), F.sum(F.col("_off").cast("bigint")).alias("far_off"))
+    stray = out.join(targets, ["mix_id", "source"], "left_anti").groupBy("mix_id").agg(F.count(F.lit(1)).alias("stray"))
+    return sums.join(stray, "mix_id", "left").na.fill(0, ["stray"])
+
+
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each plan: documents, those whose parts don't make up the text, containers over capacity or of one not permitted, texts split without need."""
+    docs = tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+    sizes = {r["pack_id"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    out = durable(packing.packed(docs, sizes))
+    top = F.create_map(*[F.lit(x) for p, c in sizes.items() for x in (p, max(c))])[F.col("pack_id")]
+    whole = out.groupBy("pack_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("parts")).join(docs, "doc_id")
+    by_doc = whole.groupBy("pack_id").agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("tokens") != F.col("n_tokens")).cast("bigint")).alias("incomplete"), F.sum(((F.col("parts") > 1) & (F.col("n_tokens") <= top)).cast("bigint")).alias("split"))
+    bins = out.where("container_id IS NOT NULL").groupBy("pack_id", "container_id").agg(F.sum("tokens").alias("used"), F.max("capacity_tokens").alias("capacity"))
+    by_bin = bins.groupBy("pack_id").agg(F.sum(((F.col("used") > F.col("capacity")) | (F.col("capacity") != top)).cast("bigint")).alias("over"))
+    return by_doc.join(by_bin, "pack_id")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that each mixture reaches."""
     counts, targets = _source_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets")
@@ -136,5 +165,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline(F.concat(wrong, other)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p5_found, p5_linked, p5_candidates, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_labelled)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_misses, p2_found, p2_unified, p3_found, p3_linked, p5_found, p5_linked, p5_candidates, p6_packed, p6_fill, p6_checked, p7_mixed, p7_shares, p7_checked, p8_found, p8_labelled)}
+# The statement's plain characters, rule by rule: marks, digits, Cyrillic letters but inside a run of digits; in names also
+# Latin letters, but not beside Cyrillic ones. SQL's patterns have no look-around, so the rules stand side by side.
+_MARKS = r'\-0-9 №«»“”".,/()\[\]*'
+_CYRILLIC, _LATIN = "а-яёА-ЯЁ", "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
+_ODD_NUMBER = f"(NOT regexp_full_match(v, '[{_MARKS}{_CYRILLIC}]*') OR regexp_matches(v, '[0-9][{_CYRILLIC}]+[0-9]'))"
+_ODD_NAME = f"(NOT regexp_full_match(v, '[{_MARKS}{_CYRILLIC}{_LATIN}]*') OR regexp_matches(v, '[{_CYRILLIC}][{_LATIN}]|[{_LATIN}][{_CYRILLIC}]'))"
+ORACLES: dict[str, str] = {
+    "p2_found": " UNION ALL ".join(f"SELECT '{p}' AS field_path, rec_id FROM (SELECT rec_id, {c} AS v FROM {t}) WHERE v IS NOT NULL AND {_ODD_NAME if policy == 'name' else _ODD_NUMBER}" for t, fields in GLYPH_FIELDS.items() for p, (c, policy) in fields.items()),
+    "p6_checked": "SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS incomplete, 0::BIGINT AS split, 0::BIGINT AS over FROM pack_sizes",
+    "p7_checked": "SELECT mix_id, count(*) AS sources, 0::BIGINT AS over_cap, 0::BIGINT AS far_off, 0::BIGINT AS stray FROM mix_targets GROUP BY mix_id",
+}
