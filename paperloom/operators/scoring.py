@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dates, identifiers, numbers, text
 from paperloom.functions.blanks import is_blank
+from paperloom.session import durable
 
 # Kinds of comparison by the names that fields declare.
 KINDS = {
@@ -82,3 +83,29 @@ def completeness(df: DataFrame, rules: dict[str, Column]) -> Column:
     """Share of the rules that hold, 0 to 100; a null rule doesn't hold."""
     held = sum((F.coalesce(r, F.lit(False)).cast("int") for r in rules.values()), F.lit(0))
     return F.bround(held * 100.0 / max(len(rules), 1), 1)
+
+
+def suite(truth: DataFrame, results: DataFrame, fields: dict[str, tuple[str, str, float]], name: str = "file_name", saved: str = "saved_as") -> DataFrame:
+    """Scores of every true record with the result found for it, and ``extracted``: whether there was one.
+
+    Results are found by the stem of the true file's name, as ``stem_Full``, ``stem`` or ``stem_type`` in this order, and
+    of equal names the one whose path is first. A record without a result is compared with itself; that measures the
+    truth's own schema only, so it must not be averaged with the others. ``fields`` are {label: (path, kind, weight)};
+    both frames have doc_type. Repeated true records keep their rows.
+    """
+    paths = {label: path for label, (path, _, _) in fields.items()}
+    stems = truth.select(F.monotonically_increasing_id().alias("_id"), name, "doc_type", F.regexp_replace(name, r"\.[^.]*$", "").alias("_stem"), *[F.col(p).alias(f"t_{n}") for n, p in paths.items()])
+    stems = durable(stems)
+    ways = F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("key")) for i, c in enumerate((F.concat("_stem", F.lit("_Full")), F.col("_stem"), F.concat_ws("_", "_stem", "doc_type")))])
+    found = results.select(F.col(saved).alias("key"), F.struct(F.col("path"), *[F.col(p).cast("string").alias(n) for n, p in paths.items()]).alias("_r")).groupBy("key").agg(F.min("_r").alias("_r"))
+    best = stems.select("_id", F.inline(ways)).join(found, "key").groupBy("_id").agg(F.min(F.struct("rank", "_r"))["_r"].alias("_r"))
+    joined = stems.join(best, "_id", "left").withColumn("extracted", F.col("_r").isNotNull())
+    pred = {n: F.when(F.col("extracted"), F.col(f"_r.{n}")).otherwise(F.col(f"t_{n}").cast("string")) for n in paths}
+    scored = record_scores(joined, ["_id", name, "doc_type", "extracted"], {n: (pred[n], F.col(f"t_{n}"), kind, weight) for n, (_, kind, weight) in fields.items()})
+    return scored.drop("_id")
+
+
+def suite_averages(scored: DataFrame) -> DataFrame:
+    """For each type and for all (null): records, how many were extracted, their accuracy, and the truth's own integrity; 0 where there are none."""
+    of = lambda there: F.coalesce(F.bround(F.avg(F.when(F.col("extracted") == there, F.col("overall"))), 2), F.lit(0.0))
+    return scored.rollup("doc_type").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("extracted").cast("bigint")).alias("extracted"), of(True).alias("accuracy"), of(False).alias("schema_integrity"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import blanks, dates, evidence, identifiers, numbers, paths, text
-from paperloom.operators import audit, flat, guardrails, recovery, registry, rollup, routing, scoring
+from paperloom.operators import audit, flat, guardrails, measure, recovery, registry, rollup, routing, scoring
 from paperloom.session import table
 from paperloom.sources import files, replies
 
@@ -584,3 +584,40 @@ def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_salvaged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_payloads").select("payload_id", replies.json_of(F.col("payload")).alias("json"))
+
+
+# -- rows for import, and the gate under noise
+
+_PAY_TEXT = "concat_ws(' ', finances.periodic_details, claimant_details, debtor_details, notes, authority.address, claim_subject)"
+_PAY_DETAILS = _details_sql("rec_id", "t", f"(SELECT rec_id, {_PAY_TEXT} AS t FROM salary_deductions)")
+
+
+def _said(x: str) -> str:
+    return f"CASE WHEN {_trim(x)} IN ('', 'None', 'null', 'nan') THEN NULL ELSE {_trim(x)} END"
+
+
+def _iso(x: str) -> str:
+    first, last = "([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})", "([0-9]{4})[./-]([0-9]{1,2})[./-]([0-9]{1,2})"
+    put = lambda p, y, d: f"concat_ws('-', regexp_extract({x}, '{p}', {y}), lpad(regexp_extract({x}, '{p}', 2), 2, '0'), lpad(regexp_extract({x}, '{p}', {d}), 2, '0'))"
+    return f"CASE WHEN coalesce({x}, '') = '' THEN '' WHEN regexp_matches({x}, '{first}') THEN {put(first, 3, 1)} WHEN regexp_matches({x}, '{last}') THEN {put(last, 1, 3)} ELSE {x} END"
+
+
+@query(rf"""WITH d AS ({_PAY_DETAILS}), b AS ({ORACLES['q_base_documents']}), o AS (SELECT rec_id, {_PAY_TEXT} AS t, {_said('authority.name')} AS head, {_said('doc_date')} AS day, * EXCLUDE (rec_id) FROM salary_deductions)
+    SELECT o.rec_id AS rec_id, coalesce(d.bik, '') AS Bik, 10::INT AS DbCode, {_iso('b.base_date')} AS ExecutiveDocumentDate, coalesce(nullif(b.base_number, ''), {_said('o.doc_number')}, {_said('o.ip_number')}, '') AS ExecutiveDocumentNumber,
+        coalesce(o.head, '') AS FSSP_Head, coalesce(d.oktmo, '') AS Oktmo, coalesce({_said('o.employer.name')}, '') AS OrganizationName, coalesce(d.account, '') AS PaymentAccount, 'ExecutiveProduction' AS PurposeType,
+        coalesce(nullif(trim(regexp_extract(o.t, '(?i)(?:получател[ьяе]|в пользу)[\s:]*([^\n;,.]{{5,100}}[(][^)]+[)]|УФК[^\n;,]{{5,80}})', 1)), ''), 'УФК (' || o.head || ')', '') AS Recipient,
+        coalesce(d.inn, '') AS RecipientInn, coalesce(d.kpp, '') AS RecipientKpp, {_iso('o.day')} AS ResolutionDate, coalesce({_said('o.authority.address')}, '') AS RospAddressFakt, coalesce({_said('o.authority.officer')}, '') AS RospBailiffFio,
+        coalesce(nullif(regexp_extract(concat_ws(' ', {_said('o.ip_number')}, {_said('o.doc_number')}), '(?i)/([0-9]{{5}})-ИП', 1), ''), nullif(regexp_extract(concat_ws(' ', {_said('o.ip_number')}, {_said('o.doc_number')}), '(?i)(?:^|[^\p{{L}}\p{{N}}_])([0-9]{{5}})-ИП', 1), ''), nullif(regexp_extract(o.t, '(?i)(?:вксп|код|росп)[\s:]+([0-9]{{5}})(?:[^\p{{L}}\p{{N}}_]|$)', 1), ''), '') AS RospFullCode,
+        coalesce(d.uin, '') AS Uin FROM o JOIN d USING (rec_id) JOIN b USING (rec_id)""")
+def q_payment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat.payment_rows(table(spark, sf_dir, "salary_deductions"), ["rec_id"])
+
+
+def q_gate_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often true parties and numbers of claims are doubted when their text is misread; its own rows, no SQL can draw the noise."""
+    spec = audit.Spec(gate_fields={"sender.inn": 10, "recipient.inn": 10, "doc_number": 3}, gate_names=["sender.name", "recipient.name"])
+    body = F.concat_ws(" ", F.lit("Претензия от отправителя"), "sender.name", F.lit("ИНН"), "sender.inn", F.lit("получателю"), "recipient.name", F.lit("ИНН"), "recipient.inn", F.lit("номер"), "doc_number")
+    return measure.gate_curve(table(spark, sf_dir, "legal_claims"), spec, body, "rec_id", [0.0, 0.01, 0.02, 0.05, 0.1])
+
+
+QUERIES["q_gate_curve"] = q_gate_curve

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import audit, flat, guardrails, nested, recovery, registry, rollup, routing, scoring
+from paperloom.operators import audit, flat, guardrails, measure, nested, recovery, registry, rollup, routing, scoring
 
 
 def rows(df):
@@ -266,3 +266,31 @@ def test_specs_of_types_without_a_table(spark):
     assert [r["verdict"] for r in got] == ["discrepancy", "discrepancy"]
     assert set(audit.MORE_SPECS) == {"hr_orders", "powers_of_attorney", "acceptance_certificates"}
     assert audit.Spec(bank={"iban": "x"}).problems(rows.schema) == ["unknown bank details ['iban']"]
+
+
+def test_a_suite_keeps_extraction_apart_from_the_truth_itself(spark):
+    truth = spark.createDataFrame([("a.pdf", "t", "X", 100.0), ("b.pdf", "t", "Y", 5.0), ("c.pdf", "u", "Z", 7.0), ("d.pdf", "u", None, None)], "file_name string, doc_type string, n string, total double")
+    results = spark.createDataFrame([("a", "p1", "other", 1.0), ("a_Full", "p2", "X", 100.0), ("b_t", "p3", "Y", 50.0), ("c_t", "p4", "Z", 7.0)], "saved_as string, path string, n string, total double")
+    out = scoring.suite(truth, results, {"n": ("n", "exact", 1.0), "total": ("total", "numeric", 1.0)})
+    assert {r["file_name"]: (r["extracted"], r["overall"]) for r in out.collect()} == {"a.pdf": (True, 100.0), "b.pdf": (True, 50.0), "c.pdf": (False, 100.0), "d.pdf": (False, 0.0)}
+    got = {r["doc_type"]: tuple(r)[1:] for r in scoring.suite_averages(out).collect()}
+    assert got == {"t": (2, 2, 75.0, 0.0), "u": (2, 0, 0.0, 50.0), None: (4, 2, 75.0, 50.0)}
+    assert scoring.suite(truth.limit(0), results, {"n": ("n", "exact", 1.0)}).count() == 0
+
+
+def test_noise_is_repeatable_and_grows_with_its_rate(spark, tiny):
+    body = "Взыскать 1500 рублей с ООО Ромашка " * 20
+    assert measure.misread(body, 0.1, 5) == measure.misread(body, 0.1, 5) != measure.misread(body, 0.1, 6)
+    assert measure.misread(body, 0.0, 5) == body and measure.misread("", 0.5, 1) == "" and measure.misread("—!", 1.0, 1) == "—!"
+    from paperloom.plans import core_queries
+
+    curve = {r["rate"]: r for r in core_queries.q_gate_curve(spark, tiny).collect()}
+    assert curve[0.0]["false_positive_percent"] == 0.0
+    shares = [curve[r]["false_positive_percent"] for r in sorted(curve)]
+    assert shares == sorted(shares) and shares[-1] > 50
+
+
+def test_verdicts_are_found_in_every_form(spark):
+    df = spark.createDataFrame([("", ("verified",)), ("discrepancy", (None,)), (None, None)], "zero_trust_status string, zero_trust struct<status:string>")
+    assert [r[0] for r in df.select(flat.status_of(df)).collect()] == ["verified", "discrepancy", ""]
+    assert spark.range(1).select(flat.status_of(spark.range(1))).first()[0] == ""
