@@ -50,6 +50,8 @@ REMEMBERED = 200_000
 #: Letters that tell whether an entry holds a word, and how many entries of a field a word must be in one of to count as less than rare.
 STEM, RARE = 5, 100
 MISS = 0
+# Words that tell nothing, in both scripts.
+CONNECTING = frozenset("и или а в во на по о об от до для с со из к ко при за i ili v vo na po ob ot do dlya s so iz k ko pri za".split())
 
 _FOLD = str.maketrans("ёйЁЙ", "еиеи")
 
@@ -112,7 +114,9 @@ def cut_forms(value: str) -> list[tuple[list[str], set[str]]]:
     for way in [text, trimmed(typed_on_cyrillic(text))] if re.search("[a-z]", text) else [text]:
         found = re.findall(r"(?<![^\W_])([^\W\d_]+(?:-[^\W\d_]{1,3})?)(?![^\W_])([./]?)", way.translate(_FOLD))
         cut = {w for w, sign in found if sign} | {b for (_, sign), (b, _) in pairwise(found) if sign == "/" and len(b) < 3}
-        out.append(([w for w, _ in found], cut | {w for w, _ in found if len(w) < 3}))
+        words = [w for w, _ in found]
+        for own in (words, [x for w in words for x in w.split("-")]) if any("-" in w for w in words) else (words,):
+            out.append((own, cut | {w for w in own if len(w) < 3}))
     return [x for x in out if x[0]]
 
 
@@ -219,7 +223,8 @@ class Matcher:
 
     def _add(self, field: str, texts: list[str], ref: int, own: bool = False) -> None:
         for text in filter(None, texts):
-            for words in (words_of(text), words_of(transliterate(text.lower()))):
+            for way in (str, transliterate):
+                words = words_of(way(text.lower()))
                 key = " ".join(words)
                 if self.exact.setdefault((field, key), ref) != ref:
                     continue
@@ -233,7 +238,8 @@ class Matcher:
                     for i, j in combinations(range(len(words)) if len(words) < 6 else (), 2):
                         for n in range(3, min(6, len(words[i]))):  # drawn together, where a slip may be besides
                             self._add(field, [words[i][:n] + words[j]], ref)
-                    self.entry[field][at] = initials(words)
+                    runs = initials(words_of(text))
+                    self.entry[field][at] = {way(letters): places for letters, places in runs.items()} if len(words) == len(words_of(text)) else initials(words)
                     for letters in self.entry[field][at]:
                         self.short[field, letters].add(at)
                 for w in {*words, "".join(words)}:
@@ -246,6 +252,8 @@ class Matcher:
 
     def weight(self, field: str, word: str) -> float:
         """What a word tells: more, the fewer entries of the field have it."""
+        if word in CONNECTING:
+            return 0.1
         held = self.holders.get((field, word[:STEM]), 0)
         return min(math.log(RARE), max(0.1, math.log((self.size[field] + 1) / max(1, held))))
 
@@ -255,7 +263,7 @@ class Matcher:
         short = self.entry[field][at]
         left = set(range(len(other)))
         weights = [self.weight(field, w) for w in other]
-        got = told = 0.0
+        got = held = told = 0.0
         for w in sorted(words, key=len, reverse=True):
             best, places = 0.0, ()
             for run in short.get(w, ()):
@@ -273,10 +281,11 @@ class Matcher:
             if places:
                 left -= set(places)
                 got += best * sum(weights[i] for i in places)
+                held += sum(weights[i] for i in places)
                 told += sum(weights[i] for i in places)
             else:
                 told += self.weight(field, w) if len(w) > 2 else 0.2
-        share, kept = got / (sum(weights) or 1), got / (told or 1)
+        share, kept = got / (sum(weights) or 1), held / (told or 1)
         return 2 * share * kept / (share + kept) if got else 0.0
 
     def _fitting(self, field: str, words: list[str], dotted: set[str]) -> tuple[float, int, int]:
