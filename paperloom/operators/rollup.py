@@ -35,10 +35,27 @@ def calls(df: DataFrame, by: str, cached: Column, latency: str, tokens: Column)
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.count_if(cached).alias("cache_hits"), F.count_if(real).alias("real_calls"), F.avg(F.when(real, F.col(latency))).alias("mean_latency"), (F.sum(F.when(real, tokens)) / F.nullif(spent, F.lit(0.0))).alias("tokens_per_s"))
 
 
-def running(df: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    """``df`` with running counts and sums of each key, in order."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running_n", F.count(F.lit(1)).over(w)).withColumn("running_sum", F.sum(value).over(w))
+def running(df: DataFrame, key: str, order: list[str], value: Column, cell: Column | None = None) -> DataFrame:
+    """``df`` with running counts and sums of each key, in order; a sum is null until its first value.
+
+    ``cell`` is an expression that never falls along the order, such as the day: then only a key's rows within one cell come
+    together, and what came before is added from the cells' own counts and sums, so that a key may hold any share of the
+    rows. Rows of null keys are a key of their own.
+    """
+    at = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = df.withColumn("_value", value)
+    if cell is None:
+        w = at.partitionBy(key)
+        return counted.withColumn("running_n", F.count(F.lit(1)).over(w)).withColumn("running_sum", F.sum("_value").over(w)).drop("_value")
+    celled = counted.withColumn("_cell", cell)
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_sum"))
+    offsets = cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.sum("_sum").over(before).alias("_sum"))
+    w = at.partitionBy(key, "_cell")
+    own = celled.withColumn("_own_n", F.count(F.lit(1)).over(w)).withColumn("_own_sum", F.sum("_value").over(w))
+    joined = own.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_cell").eqNullSafe(F.col("_at")), "left")
+    total = F.coalesce(F.col("_sum") + F.col("_own_sum"), "_sum", "_own_sum")
+    return joined.withColumn("running_n", F.col("_n") + F.col("_own_n")).withColumn("running_sum", total).select(*df.columns, "running_n", "running_sum")
 
 
 def exit_code(df: DataFrame, rank: Column) -> DataFrame:

@@ -361,7 +361,7 @@ def q_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, count(*) OVER w AS running_n, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) OVER w AS BIGINT) AS running_sum FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def q_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.running(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.get_json_object("props", "$.k").cast("bigint")).select("event_id", "user_id", "running_n", "running_sum")
+    return rollup.running(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.get_json_object("props", "$.k").cast("bigint"), F.date_trunc("day", "ts")).select("event_id", "user_id", "running_n", "running_sum")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")

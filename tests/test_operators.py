@@ -294,3 +294,10 @@ def test_verdicts_are_found_in_every_form(spark):
     df = spark.createDataFrame([("", ("verified",)), ("discrepancy", (None,)), (None, None)], "zero_trust_status string, zero_trust struct<status:string>")
     assert [r[0] for r in df.select(flat.status_of(df)).collect()] == ["verified", "discrepancy", ""]
     assert spark.range(1).select(flat.status_of(spark.range(1))).first()[0] == ""
+
+
+def test_running_totals_by_cells_are_those_of_one_window(spark):
+    rows = [("a" if i % 3 else "b", i, None if i < 4 or i % 7 == 0 else i) for i in range(60)] + [(None, 1, 5), (None, 2, 6), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    out = [sorted(map(repr, rollup.running(df, "k", ["t"], F.col("v"), cell).collect())) for cell in (None, F.floor(F.col("t") / 5), F.lit(1))]
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(rows)
