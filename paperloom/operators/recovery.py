@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.blanks import is_unrecovered
-from paperloom.functions.numbers import amounts_in
+from paperloom.functions.numbers import stated_amounts
 
 
 def recovered(df: DataFrame, text: str, totals: list[str], fields: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -17,7 +17,7 @@ def recovered(df: DataFrame, text: str, totals: list[str], fields: dict[str, tup
     blank = F.lit(True)
     for t in totals:
         blank = blank & is_unrecovered(F.col(t))
-    found = df.withColumn("_found", F.struct(*[c.alias(n) for n, c in amounts_in(F.col(text)).items()]))
+    found = df.withColumn("_found", stated_amounts(F.col(text)))
     filled, names = [], []
     for column, (source, other) in fields.items():
         value = F.coalesce(F.col(f"_found.{source}"), F.col(f"_found.{other}")) if other else F.col(f"_found.{source}")

@@ -558,8 +558,7 @@ def q_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_amounts_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = numbers.amounts_in(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", numbers.stated_amounts(F.col("text")).alias("_found")).select("doc_id", "_found.*")
 
 
 @query()
