@@ -80,32 +80,32 @@ def _text(schema: T.StructType, path: str | None) -> Column:
     return first_present(*[F.col(p) for p in path.split("|") if paths.declared(schema, p)])
 
 
-def _bank(schema: T.StructType, spec: Spec) -> tuple[list[Column], list[tuple[Column, Column]]]:
-    """(issues, checks as (made, held)) of bank details: code, key of the account, office within the UIN, lengths."""
+def _bank(schema: T.StructType, spec: Spec) -> tuple[list[tuple[Column, str, str, str]], list[tuple[Column, Column]]]:
+    """(issues as (when, severity, code, path), checks as (made, held)) of bank details: code, key of the account, office within the UIN, lengths."""
     bank, issues, checks = spec.bank, [], []
     free = [F.nullif(F.regexp_extract(_text(schema, p), r"(?<!\d)(0[14]\d{7})(?!\d)", 1), F.lit("")) for p in spec.bank_texts]
     bik, account = F.coalesce(_text(schema, bank.get("bik")), *free), _text(schema, bank.get("account"))
     told, ok = F.coalesce(F.length(bik) >= 8, F.lit(False)), identifiers.valid_bik(bik)
     checks.append((told, ok))
-    issues.append(_issue(told & ~ok, "error", "INVALID_BIK", bank.get("bik", "bik")))
+    issues.append((told & ~ok, "error", "INVALID_BIK", bank.get("bik", "bik")))
     if "account" in bank:
         both, key = account.isNotNull() & bik.isNotNull(), identifiers.valid_account(account, bik)
         central = F.lower(F.concat_ws(" ", *[_text(schema, p) for p in spec.bank_names])).rlike("банк россии|гркц") if spec.bank_names else F.lit(False)
         checks.append((both, key))
-        issues.append(_issue(both & ~key & central, "warning", "BANK_ACCOUNT_UNVERIFIED", bank["account"]))
-        issues.append(_issue(both & ~key & ~central, "error", "INVALID_BANK_ACCOUNT", bank["account"]))
-        issues.append(_issue(account.isNotNull() & bik.isNull(), "warning", "ACCOUNT_WITHOUT_BIK", bank["account"]))
+        issues.append((both & ~key & central, "warning", "BANK_ACCOUNT_UNVERIFIED", bank["account"]))
+        issues.append((both & ~key & ~central, "error", "INVALID_BANK_ACCOUNT", bank["account"]))
+        issues.append((account.isNotNull() & bik.isNull(), "warning", "ACCOUNT_WITHOUT_BIK", bank["account"]))
     if "uin" in bank and "office" in bank:
         uin, office = (F.coalesce(identifiers.digits(_text(schema, bank[k])), F.lit("")) for k in ("uin", "office"))
         made, held = (F.length(uin) >= 20) & (office != ""), F.contains(uin, office)
         checks.append((made, held))
-        issues.append(_issue(made & ~held, "warning", "UIN_ROSP_MISMATCH", bank["uin"]))
+        issues.append((made & ~held, "warning", "UIN_ROSP_MISMATCH", bank["uin"]))
     for name, sizes in (("oktmo", (8, 11)), ("kpp", (9,))):
         n = F.length(identifiers.digits(_text(schema, bank.get(name))))
-        issues.append(_issue((n > 0) & ~n.isin(*sizes), "warning", f"INVALID_{name.upper()}", bank.get(name, name)))
+        issues.append(((n > 0) & ~n.isin(*sizes), "warning", f"INVALID_{name.upper()}", bank.get(name, name)))
     for path in spec.doc_refs:
         n = F.length(identifiers.digits(_text(schema, path)))
-        issues.append(_issue((n >= 7) & ~n.isin(8, 9), "warning", "INVALID_DOC_REF_NUMBER", path))
+        issues.append(((n >= 7) & ~n.isin(8, 9), "warning", "INVALID_DOC_REF_NUMBER", path))
     return issues, checks
 
 
@@ -125,8 +125,8 @@ def audited(df: DataFrame, spec: Spec, raw_text: Column | None = None, dpi: Colu
         cut = F.length(identifiers.digits(value)) < LEAST_DIGITS
         ok = CHECKS[rule["kind"]](value)
         checks.append((there & ~cut, ok))
-        issues.append(_issue(there & cut, "warning", "IDENTIFIER_CUT", rule["path"]))
-        issues.append(_issue(there & ~cut & ~ok, rule.get("severity", "error"), f"{rule['kind'].upper()}_CHECKSUM", rule["path"]))
+        issues.append((there & cut, "warning", "IDENTIFIER_CUT", rule["path"]))
+        issues.append((there & ~cut & ~ok, rule.get("severity", "error"), f"{rule['kind'].upper()}_CHECKSUM", rule["path"]))
     if spec.bank or spec.bank_texts or spec.doc_refs:
         more, made = _bank(schema, spec)
         issues += more
@@ -142,16 +142,16 @@ def audited(df: DataFrame, spec: Spec, raw_text: Column | None = None, dpi: Colu
         summed = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
         off = F.abs(F.bround(summed, 2) - total) > rule.get("tolerance", 0.05)
         severity = rule.get("severity", "error")
-        issues.append(_issue(~taken & bad_total, "error", rule["code"], rule["total"]))
-        issues.append(_issue(~taken & (bad_part | compared & off), severity, rule["code"], rule["total"]))
+        issues.append((~taken & bad_total, "error", rule["code"], rule["total"]))
+        issues.append((~taken & (bad_part | compared & off), severity, rule["code"], rule["total"]))
         money_checked = money_checked | ~taken & (bad_part | compared)
         money_ok = money_ok | F.coalesce(~taken & compared & ~off, no)
         taken = taken | bad_total | bad_part | compared
     for path in date_leaves(schema):
-        issues.append(_issue(~is_blank(F.col(path)) & dates.flexible_date(F.col(path)).isNull(), "warning", "UNPARSEABLE_DATE", path))
+        issues.append((~is_blank(F.col(path)) & dates.flexible_date(F.col(path)).isNull(), "warning", "UNPARSEABLE_DATE", path))
     for rule in spec.chronology:
         before, after = (dates.flexible_date(_text(schema, rule[k])) for k in ("before", "after"))
-        issues.append(_issue(dates.in_order(before, after) == "inverted", rule.get("severity", "warning"), rule["code"], rule["after"]))
+        issues.append((dates.in_order(before, after) == "inverted", rule.get("severity", "warning"), rule["code"], rule["after"]))
     poor, executed = no, no
     if raw_text is not None:
         of = lambda names: {p: _text(schema, p) for p in names}
@@ -159,25 +159,28 @@ def audited(df: DataFrame, spec: Spec, raw_text: Column | None = None, dpi: Colu
         executed = missing.isNotNull()
         gate = F.transform(missing, lambda x: F.struct(F.lit("error").alias("severity"), F.lit("NOT_IN_TEXT").alias("code"), x["field"].alias("field_name")))
     if gate_expected is not None:
-        issues.append(_issue(gate_expected & ~executed, "warning", "GATE_NOT_EXECUTED", "gate"))
+        issues.append((gate_expected & ~executed, "warning", "GATE_NOT_EXECUTED", "gate"))
     if dpi is not None:
         poor = F.coalesce((dpi > 0) & (dpi < LEAST_DPI), no)
-        issues.append(_issue(poor, "warning", "OCR_LOW_CONFIDENCE", "scan"))
-    array = F.filter(F.array(*issues), lambda x: x.isNotNull()) if issues else F.array().cast(f"array<{ISSUE}>")
+        issues.append((poor, "warning", "OCR_LOW_CONFIDENCE", "scan"))
+    array = F.filter(F.array(*[_issue(*x) for x in issues]), lambda x: x.isNotNull()) if issues else F.array().cast(f"array<{ISSUE}>")
+    # told from its own conditions: a plan that needs the verdict alone looks at no warnings
+    error = reduce(Column.__or__, [F.coalesce(when, no) for when, severity, _, _ in issues if severity == "error"], no)
     if raw_text is not None:
+        error = error | F.coalesce(F.size(missing) > 0, no)
         array = F.concat(array, F.coalesce(gate, F.array().cast(f"array<{ISSUE}>")))
     made = [F.coalesce(m, no).cast("int") for m, _ in checks]
     held = [F.coalesce(m & h, no).cast("int") for m, h in checks]
     out = df.withColumn("issues", array).withColumn("checksums_checked", sum(made, F.lit(0))).withColumn("checksums_ok", sum(held, F.lit(0)))
     out = out.withColumn("money_checked", F.coalesce(money_checked, no)).withColumn("money_ok", F.coalesce(money_ok, no))
     skipped = gate_expected & ~executed if gate_expected is not None else no
-    return out.withColumn("verdict", verdict(poor, recovered if recovered is not None else no, skipped))
+    return out.withColumn("verdict", verdict(poor, recovered if recovered is not None else no, skipped, error))
 
 
-def verdict(poor: Column | None = None, recovered: Column | None = None, skipped: Column | None = None) -> Column:
+def verdict(poor: Column | None = None, recovered: Column | None = None, skipped: Column | None = None, error: Column | None = None) -> Column:
     """The ladder: an error is a discrepancy; then a poor scan, recovered amounts, a gate that should have run and didn't;
     checksums and sums that hold are verified; either of them looked at is partial."""
-    error, no = F.exists("issues", lambda x: x["severity"] == "error"), F.lit(False)
+    error, no = F.exists("issues", lambda x: x["severity"] == "error") if error is None else error, F.lit(False)
     return (
         F.when(error, "discrepancy")
         .when(F.coalesce(no if poor is None else poor, no), "low_resolution")
