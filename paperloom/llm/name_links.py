@@ -202,7 +202,8 @@ def neighbours(entries: DataFrame, queries: DataFrame) -> DataFrame:
     shards = routed.join(sized.where(F.col("most") <= TRIE).select("shard"), "shard")
     if sized.where(F.col("most") > TRIE).limit(1).count():
         shards = shards.unionByName(_cut(routed.join(sized.where(F.col("most") > TRIE).select("shard"), "shard")).select(shards.columns))
-    walked = _spread(shards, "shard").sortWithinPartitions("shard").mapInPandas(_walk, "space string, core string, other string, slips int")
+    # By the shard itself the join's partitions would serve, and these are read piecewise where the join turns out small or skewed.
+    walked = _spread(shards, F.xxhash64("shard")).sortWithinPartitions("shard").mapInPandas(_walk, "space string, core string, other string, slips int")
     return durable(walked.distinct())
 
 

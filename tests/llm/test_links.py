@@ -80,6 +80,18 @@ def test_trie_join_misses_no_pair(spark, monkeypatch):
     assert name_links.neighbours(frame(words).limit(0), frame(words)).count() == 0
 
 
+def test_shards_stay_whole_where_their_partitions_are_not_merged(spark):
+    """The join that drops shards of one core turns out small, and its partitions are read where they were written."""
+    rng = random.Random(8)
+    words = [(str(i), "".join(rng.choice("абвгдезиклмнопрст") for _ in range(8)), rng.randrange(8)) for i in range(1500)]
+    df = spark.createDataFrame([(s, x) for s, w, k in words for x in (w, w[:k] + w[k + 1 :])], "space string, core string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert name_links.neighbours(df, df).count() == 2 * len(words)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_spaces_do_not_meet(spark):
     df = spark.createDataFrame([("a", "абвгд"), ("b", "абвге"), (None, "абвг"), ("a", None)], "space string, core string")
     assert name_links.neighbours(df, df).count() == 0
